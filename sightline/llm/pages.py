@@ -47,11 +47,11 @@ def main_body(snapshots: DataFrame, id: str = "id", url: str = "url", title: str
     outside links and outside the vocabulary of menus, footers and the like, is the main body, less the boxes within it that hold promotions.
     A page without markup is judged line by line, with separators in the place of tags; a product's name by itself is the page's only if its
     address (or title) says so. Pages of a null, empty or blank content, and rows without an id, give no rows; so does an empty table.
-    Very long pages are read as a stream of lines. A row delivered twice (same id) counts once; if its copies differ, all their lines count.
+    Very long pages are read as a stream of lines. A row delivered twice (same id) counts once; if its copies differ, the one with the least key counts.
     """
     pages = _pages(snapshots, id, url, title, content)
     bodies = _distinct(pages).select("_key", "_name", "_content").mapInPandas(_bodies, "_key string, _lines array<int>").where(F.size("_lines") > 0)
-    return pages.select("_id", "_key").distinct().join(bodies, "_key").select(F.col("_id").alias("id"), F.explode("_lines").alias("line_no"))
+    return pages.groupBy("_id").agg(F.min("_key").alias("_key")).join(bodies, "_key").select(F.col("_id").alias("id"), F.explode("_lines").alias("line_no"))
 
 
 def _residues(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sightline.llm.canonical import canonical_values
 from sightline.llm.pages import main_body, residue
 from sightline.queries.registry import Registry
 from sightline.sources.tables import table
@@ -21,3 +22,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that hold template residue, filler or error text where product information should be."""
     return residue(table(spark, sf_dir, "snapshots")).select("id")
+
+
+@LLM.add()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed model that each sighting's identifier denotes, or `unmatched`."""
+    return canonical_values(*(table(spark, sf_dir, t) for t in ("discovery_results", "model_validations", "devices", "aliases")))
