@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sightline.llm.canonical import canonical_values
 from sightline.llm.pages import main_body, residue
+from sightline.llm.sentences import sentences
 from sightline.queries.registry import Registry
 from sightline.sources.tables import table
 
@@ -28,3 +29,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed model that each sighting's identifier denotes, or `unmatched`."""
     return canonical_values(*(table(spark, sf_dir, t) for t in ("discovery_results", "model_validations", "devices", "aliases")))
+
+
+@LLM.add()
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each sentence of each document ends."""
+    return sentences(table(spark, sf_dir, "documents"))
