@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sightline.llm.canonical import canonical_values
 from sightline.llm.pages import main_body, residue
+from sightline.llm.quantiles import combined, daily_summaries, percentiles
 from sightline.llm.sentences import sentences
 from sightline.queries.registry import Registry
 from sightline.sources.tables import table
@@ -13,6 +14,18 @@ from sightline.sources.tables import table
 LLM = Registry()
 
 
+@LLM.add()
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each collector's durations and finds, with the error bound of each: daily summaries, merged over all days."""
+    return percentiles(combined(daily_summaries(table(spark, sf_dir, "collector_run_metrics"))))
+
+
+@LLM.add()
+def p2_daily_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily summaries themselves, in the form that combines over days."""
+    return daily_summaries(table(spark, sf_dir, "collector_run_metrics"))
+
+
 @LLM.add()
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each page's main body."""
