@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sightline.llm.canonical import canonical_values
+from sightline.llm.mixing import mixed
 from sightline.llm.pages import main_body, residue
 from sightline.llm.quantiles import combined, daily_summaries, percentiles
 from sightline.llm.sentences import sentences
@@ -44,6 +45,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_values(*(table(spark, sf_dir, t) for t in ("discovery_results", "model_validations", "devices", "aliases")))
 
 
+@LLM.add()
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of each mix and the number of times each is used."""
+    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+@LLM.add()
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of tokens that each source reaches in each mix."""
+    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 @LLM.add()
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each sentence of each document ends."""
