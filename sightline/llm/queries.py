@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sightline.llm.canonical import canonical_values
 from sightline.llm.mixing import mixed
+from sightline.llm.packing import fill_report, packed
 from sightline.llm.pages import main_body, residue
 from sightline.llm.quantiles import combined, daily_summaries, percentiles
 from sightline.llm.sentences import sentences
@@ -45,6 +46,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_values(*(table(spark, sf_dir, t) for t in ("discovery_results", "model_validations", "devices", "aliases")))
 
 
+@LLM.add()
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each document, or piece of a longer one, in every pack."""
+    return packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacities"))
+
+
+@LLM.add()
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each pack are."""
+    return fill_report(packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacities")), table(spark, sf_dir, "pack_capacities"))
+
+
 @LLM.add()
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of each mix and the number of times each is used."""
