@@ -13,6 +13,7 @@ from sightline.llm import page_terms as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript head title template svg iframe object".split())
 BOXES = frozenset("div nav aside footer header form dialog menu main article section figure".split())
+DEEPEST = 60
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 VOCABULARY = T.phrases(T.NAVIGATION, T.FOOTER, T.ASIDE, T.PROMOTION, T.CONSENT)
@@ -43,17 +44,22 @@ def plain(text: str) -> str:
 class Box:
     """An element that holds lines: its place in the page and what its tag and names say."""
 
-    __slots__ = ("up", "tag", "around", "main", "kids", "own")
+    __slots__ = ("up", "tag", "around", "main", "kids", "own", "all", "depth")
 
     def __init__(self, up: Box | None, tag: str, names: str):
-        self.up, self.tag, self.kids, self.own = up, tag, [], []
+        self.up, self.tag, self.kids, self.own, self.all = up, tag, [], [], []
+        self.depth = up.depth + 1 if up is not None else 0
         self.around = tag in T.AROUND_TAGS or bool(names and AROUND.search(names))
         self.main = tag in T.MAIN_TAGS or bool(names and not self.around and MAIN.search(names))
         if up is not None:
             up.kids.append(self)
 
-    def lines(self) -> list[int]:
-        return sorted([*self.own, *(i for k in self.kids for i in k.lines())])
+    def add(self, line: int) -> None:
+        self.own.append(line)
+        box: Box | None = self
+        while box is not None:
+            box.all.append(line)
+            box = box.up
 
 
 class Reader(HTMLParser):
@@ -62,7 +68,7 @@ class Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.box = Box(None, "body", "")
-        self.row, self.hidden, self.link, self.heading = 0, [], 0, 0
+        self.row, self.hidden, self.link, self.heading, self.deeper = 0, [], 0, 0, 0
         self.text: list[str] = []
         self.tags: list[int] = []
         self.linked: list[int] = []
@@ -88,6 +94,8 @@ class Reader(HTMLParser):
             self.link += 1
         elif tag in HEADINGS or tag in ("pre", "td", "th"):
             self.heading += 1
+        elif tag in BOXES and self.box.depth >= DEEPEST:  # what lies deeper counts to the box that holds it
+            self.deeper += 1
         elif tag in BOXES:
             self.box = Box(self.box, tag, " ".join(v for k, v in attrs if v and k in ("class", "id", "role")))
         elif tag == "body":
@@ -105,6 +113,8 @@ class Reader(HTMLParser):
             self.link = max(0, self.link - 1)
         elif tag in HEADINGS or tag in ("pre", "td", "th"):
             self.heading = max(0, self.heading - 1)
+        elif tag in BOXES and self.deeper:
+            self.deeper -= 1
         elif tag in BOXES:
             same = T.MAIN_TAGS if tag in T.MAIN_TAGS else (tag,)  # <article> ... </main> is one element to its author
             at = self.box
@@ -194,10 +204,10 @@ def of_markup(r: Reader) -> list[int]:
     rich = dict(zip(shown, content_lines(size / (tags + 1)), strict=True))
     out = {i: around(r.text[i]) for i in shown}
     for i in shown:
-        r.where[i].own.append(i)
+        r.where[i].add(i)
     top = r.root  # down to where the page divides into regions
-    while not top.own and sum(bool(k.lines()) for k in top.kids) == 1:
-        top = next(k for k in top.kids if k.lines())
+    while not top.own and sum(bool(k.all) for k in top.kids) == 1:
+        top = next(k for k in top.kids if k.all)
     if top.own or not top.kids:
         while top.up is not None and top.tag in ("section",):
             top = top.up
@@ -211,7 +221,7 @@ def of_markup(r: Reader) -> list[int]:
             total += free * (1.0 if rich[i] else 0.5) + (60 if r.strong[i] else 0)
         return total
 
-    regions = [(k, k.lines()) for k in top.kids]
+    regions = [(k, k.all) for k in top.kids]
     if top.own:
         regions.append((top, list(top.own)))
     best, most = None, 0.0
@@ -249,7 +259,7 @@ def dropped(r: Reader, i: int, region: Box, out: dict[int, bool]) -> bool:
         if box.tag not in ("section", "main", "article", "figure"):
             if box.around:
                 return True
-            lines = box.lines()
+            lines = box.all
             if any(plain(r.text[j]) in VOCABULARY for j in lines) and not any(r.strong[j] for j in lines):
                 return True
             if len(lines) <= 4 and all(out[j] or NAME.match(r.text[j]) for j in lines) and not any(r.strong[j] for j in lines):
