@@ -55,6 +55,14 @@ def repeats(words: list[str]) -> bool:
     return any(n % k == 0 and n // k >= 2 and words == words[:k] * (n // k) for k in range(1, n // 2 + 1))
 
 
+#: Cheap signs without which a line needs no closer look.
+FIELD_SIGNS = re.compile(r"[{}\[\]<>$%@]|__|\(\(|XX-|TODO|FIXME|TBD")
+VALUE_SIGNS = re.compile(NO_VALUE)
+LATIN_SIGNS = ("lorem", "ipsum", "dolo", "sita", "ame", "elit", "adip", "incid", "labor", "magn", "ullam", "nostr", "veni", "tetra", "temp", "sed", "ali", "cons")
+#: No failure or filler that is a whole line is longer.
+LONGEST = 240
+
+
 def evidence(line: str) -> str | None:
     """What a line of the main body shows: placeholder, filler, failure (errors, maintenance, access and robot checks, demands for scripts), or None.
 
@@ -63,22 +71,27 @@ def evidence(line: str) -> str | None:
     text = BULLET.sub("", line.strip())
     if not text:
         return None
-    if FIELDS.search(text) and not (ABOUT_FIELDS.search(text) and len(text.split()) >= 6):
+    if FIELD_SIGNS.search(text) and FIELDS.search(text) and not (ABOUT_FIELDS.search(text) and len(text.split()) >= 6):
         return "placeholder"
-    if VALUES.search(text) and not ABOUT_VALUES.search(text):
+    if VALUE_SIGNS.search(text) and VALUES.search(text) and not ABOUT_VALUES.search(text):
         return "placeholder"
-    if FAILURE.match(text):
+    short = len(text) <= LONGEST
+    if short and FAILURE.match(text):
         return "failure"
-    if FILLER.match(text):
-        return "filler"
-    words = [w.lower() for w in WORD.findall(text)]
-    if len(words) >= 3 and sum(bool(LATIN.match(w)) for w in words) >= 0.6 * len(words) and ("lorem" in words or "ipsum" in words or len(words) >= 5):
+    if short and FILLER.match(text):
         return "filler"
-    if repeats(words):
+    low = text.lower()
+    if sum(x in low for x in LATIN_SIGNS) >= 2 or "ipsum" in low:
+        words = WORD.findall(low)
+        if len(words) >= 3 and sum(bool(LATIN.match(w)) for w in words) >= 0.6 * len(words) and ("lorem" in words or "ipsum" in words or len(words) >= 5):
+            return "filler"
+    first = low.split(None, 1)[0]
+    if low.count(first) > 1 and repeats(WORD.findall(low)):
         return "filler"
-    parts = SPLIT.split(text)
-    if 2 <= len(parts) <= 4:
-        kinds = ["failure" if FAILURE.match(p) else "filler" if FILLER.match(p) else None for p in parts]
-        if kinds[0] and len(text) < 160 and all(k or len(p) < 60 for k, p in zip(kinds, parts, strict=True)):
-            return kinds[0]
+    if len(text) < 160:
+        parts = SPLIT.split(text)
+        if 2 <= len(parts) <= 4:
+            kinds = ["failure" if FAILURE.match(p) else "filler" if FILLER.match(p) else None for p in parts]
+            if kinds[0] and all(k or len(p) < 60 for k, p in zip(kinds, parts, strict=True)):
+                return kinds[0]
     return None
