@@ -61,12 +61,12 @@ def segments(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(bounds[:-1], size), np.repeat(bounds[1:], size)
 
 
-def local_stats(x: np.ndarray, start: np.ndarray, end: np.ndarray, halo: int) -> tuple[np.ndarray, np.ndarray]:
-    """Median, and median distance from it, of each row's neighbourhood (itself, and up to halo rows each way within [start, end))."""
-    n = len(x)
+def local_stats(x: np.ndarray, start: np.ndarray, end: np.ndarray, back: int, ahead: int) -> tuple[np.ndarray, np.ndarray]:
+    """Median, and median distance from it, of each row's neighbourhood (itself, up to `back` rows before and `ahead` after it within [start, end)); NaN is ignored."""
+    n, width = len(x), back + ahead
     if not n:
         return np.zeros(0), np.zeros(0)
-    at = np.arange(n)[:, None] + np.arange(-halo, halo + 1)[None, :]
+    at = np.arange(n)[:, None] + np.arange(-back, ahead + 1)[None, :]
     inside = (at >= start[:, None]) & (at < end[:, None])
     w = np.where(inside, x[np.clip(at, 0, n - 1)], np.nan)
     count = np.sum(~np.isnan(w), axis=1)
@@ -75,7 +75,7 @@ def local_stats(x: np.ndarray, start: np.ndarray, end: np.ndarray, halo: int) ->
         a.sort(axis=1)  # NaN comes last
         i = np.maximum(count - 1, 0)
         rows = np.arange(n)
-        return (a[rows, i // 2] + a[rows, np.minimum((i + 1) // 2, 2 * halo)]) / 2
+        return (a[rows, i // 2] + a[rows, np.minimum((i + 1) // 2, width)]) / 2
 
     m = middle(w)
     return m, middle(np.abs(w - m[:, None]))
