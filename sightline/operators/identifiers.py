@@ -137,7 +137,7 @@ def samsung_model(raw: Column) -> Column:
 
 def slug_name(slug: Column, maker: str) -> Column:
     """A product page's slug as a name: words capitalised, numbers glued to series words apart, the maker's repeated name, 5G and years left out."""
-    words = F.split(F.regexp_replace(F.lower(slug), r"(?<=[a-z])(?=\d{2,})", "-"), r"[-_+\s]+")
+    words = F.split(F.regexp_replace(F.lower(slug), r"(?<=[a-z]{2})(?=\d)", "-"), r"[-_+\s]+")
     kept = F.filter(words, lambda w: ~w.isin("", "5g", "4g", maker) & ~w.rlike(r"^20\d{2}$"))
     title = F.transform(kept, lambda w: F.when(w.isin("xl", "fe", "gt", "se"), F.upper(w)).otherwise(F.initcap(w)))
     return F.array_join(F.concat(F.array(F.initcap(F.lit(maker))), title), " ")

@@ -106,7 +106,8 @@ def q27_missing_collectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.runs(spark, sf_dir).select(F.date_format("started_at", "yyyy-MM-dd").alias("day"), "collector").distinct()
     expected = d.agg(F.collect_set("collector").alias("_all"))
     ran = d.groupBy("day").agg(F.collect_set("collector").alias("_ran"))
-    return ran.select("day", F.array_join(F.array_sort(F.array_except(expected.scalar(), F.col("_ran"))), ",").alias("missing")).where("missing <> ''")
+    both = ran.withColumn("_one", F.lit(1)).join(F.broadcast(expected.withColumn("_one", F.lit(1))), "_one")  # one row of names
+    return both.select("day", F.array_join(F.array_sort(F.array_except("_all", "_ran")), ",").alias("missing")).where("missing <> ''")
 
 
 @METRICS.add(f"with {V.RUNS_SQL}, {NOW_SQL} select collector, strftime(max(started_at), '%Y-%m-%d %H:%M:%S') last_run, arg_max(status, (started_at, run_id)) last_status, max(started_at) + interval 3 hour <= any_value(t) due from runs, now_ group by 1")

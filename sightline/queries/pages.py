@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.html import dom_signature, page_parts
+from sightline.functions.text import stripped
 from sightline.functions.url import asset_url, file_name, host, normal_url
 from sightline.operators import identifiers as I
 from sightline.operators import page_changes as P
@@ -110,8 +111,8 @@ select result_id, base || case when left(rest, 1) in ('B', 'U', 'N', 'W', '0', '
 )
 def q43_samsung_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of one maker taken apart."""
-    d = table(spark, sf_dir, "discovery_results", "result_id", "candidate_identifier").where(F.upper(F.trim("candidate_identifier")).startswith("SM"))
-    return d.select("result_id", I.samsung_model(F.trim("candidate_identifier")).alias("m")).where("m.reason is null").select("result_id", "m.canonical", "m.family_key")
+    d = table(spark, sf_dir, "discovery_results", "result_id", "candidate_identifier").where(F.upper(stripped(F.col("candidate_identifier"))).startswith("SM"))
+    return d.select("result_id", I.samsung_model(F.col("candidate_identifier")).alias("m")).where("m.reason is null").select("result_id", "m.canonical", "m.family_key")
 
 
 @PAGES.add(f"with {V.SNAPSHOTS_SQL}, p as (select *, {NORMAL_SQL} page from snaps) select id from (select id, row_number() over (partition by source, page order by fetched_at desc nulls last, id desc) n from p) where n <= 3")

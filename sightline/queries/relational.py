@@ -172,7 +172,7 @@ def q17_lead_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q18_never_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed models of which no sighting has the exact code."""
     m = table(spark, sf_dir, "model_validations", "manufacturer", "canonical_model")
-    seen = table(spark, sf_dir, "discovery_results", "candidate_identifier").select(F.upper(F.trim("candidate_identifier")).alias("_seen")).distinct()
+    seen = table(spark, sf_dir, "discovery_results", "candidate_identifier").select(F.upper(stripped(F.col("candidate_identifier"))).alias("_seen")).distinct()
     j = m.join(seen, F.upper(m["canonical_model"]) == seen["_seen"], "left")
     return j.groupBy("manufacturer").agg(F.count("*").alias("listed"), F.count_if(F.col("_seen").isNull()).alias("never_seen"))
 
