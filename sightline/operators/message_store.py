@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.text import folded
-from sightline.session import shared_dir
+from sightline.session import workspace
 
 
 class MessageStore:
@@ -27,7 +27,7 @@ class MessageStore:
         self.spark, self.key, self.at, self.order = spark, list(key), at, order
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"messages_{uuid.uuid4().hex}"
-        self.path = f"{shared_dir(spark)}/tables/{self.name}"
+        self.path = f"{workspace(spark)}/{self.name}"
         self.keys = [f"_k{i}" for i in range(len(self.key))]
 
     def rows(self, batch: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.session import shared_dir
+from sightline.session import workspace
 
 #: Rows of at most this many bytes in all may be broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -16,7 +16,7 @@ BROADCAST_BYTES = 32 << 20
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: columnar, so that later readers prune columns, and safe when executors are lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

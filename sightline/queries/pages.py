@@ -10,6 +10,7 @@ from sightline.functions.text import stripped
 from sightline.functions.url import asset_url, file_name, host, normal_url
 from sightline.operators import identifiers as I
 from sightline.operators import page_changes as P
+from sightline.operators.enrichment import enriched, filled_once
 from sightline.operators.upsert import first_of, retained, synchronised, upserted
 from sightline.queries.registry import Registry
 from sightline.sources import views as V
@@ -192,3 +193,41 @@ def q50_session_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props", "ts").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     e = e.withColumn("_gap", F.col("us") - F.lag("us").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     return e.where("_gap is null or _gap > 3600000000").select(F.col("event_id").alias("id"), F.col("event_type").alias("status"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@PAGES.add(
+    r"""with d as (select candidate_identifier m, manufacturer, candidate_marketing_name n from discovery_results where candidate_identifier is not null),
+k as (select trim(m) m, coalesce(n, '') n, coalesce(lower(manufacturer), case when upper(trim(m)) similar to '(SM-S|SM-F|SM-A|SM-M|SM-G).*' then 'samsung' when upper(trim(m)) similar to '(G|PIXEL).*' then 'google' when upper(trim(m)) similar to '(CPH|PLK).*' then 'oneplus' end) maker from d),
+f as (select maker, case maker when 'samsung' then case when regexp_matches(m, '^SM-S9[0-9]{2}') or regexp_matches(n, '^SM-S9[0-9]{2}') then 'Galaxy S' when regexp_matches(m, '^SM-F9[0-9]{2}') or regexp_matches(n, '^SM-F9[0-9]{2}') then 'Galaxy Z' when regexp_matches(m, '^SM-A[0-9]{2}') or regexp_matches(n, '^SM-A[0-9]{2}') then 'Galaxy A' when regexp_matches(m, '^SM-M[0-9]{2}') or regexp_matches(n, '^SM-M[0-9]{2}') then 'Galaxy M' end
+  when 'google' then case when regexp_matches(m, '(?i)pixel\s?\d+\s?pro') or regexp_matches(n, '(?i)pixel\s?\d+\s?pro') or regexp_matches(m, '(?i)pixel\s?\d+a') or regexp_matches(n, '(?i)pixel\s?\d+a') then 'Pixel' end
+  when 'oneplus' then case when regexp_matches(m, '(?i)oneplus\s?\d+') or regexp_matches(n, '(?i)oneplus\s?\d+') then 'OnePlus' when regexp_matches(m, '(?i)oneplus\s?nord') or regexp_matches(n, '(?i)oneplus\s?nord') then 'Nord' end end family from k)
+select maker, family, count(*) n from f group by 1, 2"""
+)
+def q53_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Makers and families that the rules tell of all sightings."""
+    d = table(spark, sf_dir, "discovery_results", "candidate_identifier", "manufacturer", "candidate_marketing_name").where("candidate_identifier is not null")
+    return enriched(d, "candidate_identifier", "manufacturer", "candidate_marketing_name").groupBy("known.maker", "known.family").agg(F.count("*").alias("n"))
+
+
+@PAGES.add(
+    """with g as (select 'snapshots' t, fetched_at as ts from snapshots union all select 'collector_run_metrics', started_at from collector_run_metrics union all select 'webhook_deliveries', created_at from webhook_deliveries union all select 'discovery_results', discovered_at from discovery_results)
+select t as table_name, count(*) n_rows, cast(date_diff('day', min(ts), max(ts)) as bigint) day_span, round(count(*) / greatest(date_diff('day', min(ts), max(ts)), 1)::double, 6) rows_per_day from g group by t"""
+)
+def q54_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How fast the tables grow."""
+    times = {"snapshots": "fetched_at", "collector_run_metrics": "started_at", "webhook_deliveries": "created_at", "discovery_results": "discovered_at"}
+    one = lambda t, c: table(spark, sf_dir, t, c).agg(F.count("*").alias("n_rows"), F.datediff(F.max(c), F.min(c)).cast("long").alias("day_span")).select(F.lit(t).alias("table_name"), "n_rows", "day_span")
+    parts = [one(t, c) for t, c in times.items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.withColumn("rows_per_day", F.round(F.col("n_rows") / F.greatest(F.col("day_span"), F.lit(1)), 6))
+
+
+@PAGES.add(
+    """select manufacturer, codename, marketing_name from (select manufacturer, family_name, arg_min(codename, (first_seen, id)) filter (codename is not null) codename, arg_min(marketing_name, (first_seen, id)) filter (marketing_name is not null) marketing_name from devices where family_name is not null group by 1, 2)"""
+)
+def q55_fill_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each family the first codename and marketing name that became known."""
+    d = table(spark, sf_dir, "devices", "id", "manufacturer", "family_name", "first_seen", "codename", "marketing_name").where("family_name is not null")
+    return filled_once(d, ["manufacturer", "family_name"], ["first_seen", "id"], ["codename", "marketing_name"]).drop("family_name")

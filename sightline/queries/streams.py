@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.queries.registry import Registry
-from sightline.session import shared_dir
+from sightline.session import workspace
 from sightline.streaming import jobs
 
 STREAMS = Registry()
@@ -24,7 +24,7 @@ def _source(spark: SparkSession, sf_dir: str, table: str, time: str) -> DataFram
 
 def _table(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """The stream's final result, from a table in the shared folder that the last micro-batch overwrote."""
-    place = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    place = f"{workspace(spark)}/streams/{uuid.uuid4().hex}"
     q = stream.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{place}/out")).outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -42,6 +45,25 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def workspace(spark: SparkSession) -> str:
+    """This application's own folder in the shared one. It is deleted when the driver ends."""
+    sc = spark.sparkContext
+    place = f"{shared_dir(spark)}/sightline/{sc.applicationId}"
+    if getattr(sc, "_sightline_workspace", None) != place:
+        sc._sightline_workspace = place
+        atexit.register(_cleared, sc, place)
+    return place
+
+
+def _cleared(sc, place: str) -> None:
+    if place.startswith("file:"):
+        shutil.rmtree("/" + place.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        return
+    with contextlib.suppress(Exception):  # the application may be gone already
+        path = sc._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per application, so that it need not be installed on the executors."""
     sc = spark.sparkContext

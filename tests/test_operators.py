@@ -15,6 +15,7 @@ from sightline.operators import identifiers as I
 from sightline.operators import page_changes as P
 from sightline.operators import run_metrics as M
 from sightline.operators import upsert as U
+from sightline.operators.enrichment import enriched, filled_once, inferred_maker
 from sightline.sources import landed as L
 from sightline.sources import sinks as S
 
@@ -219,3 +220,12 @@ def test_sinks(spark):
     with pytest.raises(ValueError):
         S.markdown(spark.range(10), "T", 5)
     assert S.markdown_lines(spark.createDataFrame([("m", "n", None)], "a string, b string, c string"), "a", {"b": "B", "c": "C"}).first()["markdown"] == "# m\n- B: n"
+
+
+def test_enrichment(spark):
+    df = spark.createDataFrame([("SM-S928U", None, None), ("CPH1", None, "OnePlus 13"), ("GXX", None, "Pixel 9a"), ("zz", "nobody", None), (None, None, None), ("SM-S921B", "samsung", None)], "model string, maker string, name string")
+    got = [tuple(r["known"]) for r in enriched(df, "model", "maker", "name").collect()]
+    assert got == [("samsung", "Galaxy S", "flagship", "usa", 1, "high"), ("oneplus", "OnePlus", "flagship", None, None, "medium"), ("google", "Pixel", "midrange", None, None, "medium"), ("nobody", None, None, None, None, "low"), (None, None, None, None, None, "low"), ("samsung", "Galaxy S", "flagship", "global_or_india", 1, "high")]
+    assert one(spark, inferred_maker(F.col("m")), m="plk110") == "oneplus"
+    rows = spark.createDataFrame([("a", 2, "x", None), ("a", 1, None, "q"), ("a", 3, "y", "r")], "k string, n int, c string, d string")
+    assert [tuple(r) for r in filled_once(rows, ["k"], ["n"], ["c", "d"]).collect()] == [("a", "x", "q")]
