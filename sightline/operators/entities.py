@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -55,23 +55,24 @@ def lookup_alias(aliases: DataFrame, asked: DataFrame, value: str = "value", key
 KEPT = "device_id string, source string, ordinal long, new_evidence boolean"
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Which records of one device and source are new evidence, in order of arrival: not those whose hash is among the kept ones', nor those whose URL
-    is kept with an equal hash, or one of the two unknown."""
-    rows = rows.sort_values("ordinal", ignore_index=True)
-    hashes: set = set()
-    by_url: dict = {}  # url -> [hashes of kept rows]
-    new = []
-    for h, u in zip(rows["content_hash"], rows["url"], strict=True):
-        h, u = (None if pd.isna(x) else x for x in (h, u))
-        seen = (h is not None and h in hashes) or (u is not None and u in by_url and (h is None or None in by_url[u] or h in by_url[u]))
-        new.append(not seen)
-        if not seen:
-            if h is not None:
-                hashes.add(h)
-            if u is not None:
-                by_url.setdefault(u, set()).add(h)
-    return rows[["device_id", "source", "ordinal"]].assign(new_evidence=new)
+def _fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Which records are new evidence, in order of arrival within a device and source: not those whose hash is among the kept ones', nor those whose URL
+    is kept with an equal hash, or one of the two unknown. Rows come sorted, so what is kept of one group is all that is held."""
+    group, hashes, by_url = None, set(), {}  # by_url: URL -> hashes of the kept records
+    for rows in parts:
+        new = []
+        for d, s, h, u in zip(rows["device_id"], rows["source"], rows["content_hash"], rows["url"], strict=True):
+            if (d, s) != group:
+                group, hashes, by_url = (d, s), set(), {}
+            h, u = (None if pd.isna(x) else x for x in (h, u))
+            seen = (h is not None and h in hashes) or (u is not None and u in by_url and (h is None or None in by_url[u] or h in by_url[u]))
+            new.append(not seen)
+            if not seen:
+                if h is not None:
+                    hashes.add(h)
+                if u is not None:
+                    by_url.setdefault(u, set()).add(h)
+        yield rows[["device_id", "source", "ordinal"]].assign(new_evidence=new)
 
 
 def evidence_dedup(records: DataFrame) -> DataFrame:
@@ -91,5 +92,6 @@ def evidence_dedup(records: DataFrame) -> DataFrame:
     same = Window.partitionBy("device_id", "source", "content_hash", "url").orderBy("ordinal")
     rest = r.where("_h > 0 and _h < _n").withColumn("_first", (F.row_number().over(same) == 1) | (F.col("content_hash").isNull() & F.col("url").isNull()))
     again = rest.where("not _first").select("device_id", "source", "ordinal", F.lit(False).alias("new_evidence"))
-    mixed = rest.where("_first").groupBy("device_id", "source").applyInPandas(_fold, KEPT)
+    key = ["device_id", "source"]
+    mixed = rest.where("_first").repartition(*key).sortWithinPartitions(*key, "ordinal").select(*key, "ordinal", "content_hash", "url").mapInPandas(_fold, KEPT)
     return known.unionByName(unknown).unionByName(again).unionByName(mixed)
