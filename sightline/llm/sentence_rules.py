@@ -31,7 +31,7 @@ STARTERS = re.compile(r"\s+(?:The|This|That|These|Those|It|He|She|We|They|You|I|
 COUNTRIES = frozenset("ee".split())
 
 DOTTED = re.compile(r"^(?:[^\W\d_]\.)+[^\W\d_]$")
-BEFORE = re.compile(r"[^\s.(\[{“„«\"「『（‹]*(?:\.[^\s.(\[{“„«\"「『（‹]+)*$")
+BEFORE = re.compile(r"[^\s.?!…。！？।؟(\[{“„«\"「『（‹]*(?:\.[^\s.?!…。！？।؟(\[{“„«\"「『（‹]+)*$")
 #: A word that leans on the next: l'art., d'env.
 ELIDED = re.compile(r"^(?:[a-zà-ÿ]{1,2}|qu)['’](?=[^\W\d_]{2})", re.I)
 DOMAIN = re.compile(r"[A-Za-z][\w-]*\.[a-z]")
@@ -110,6 +110,13 @@ def period(text: str, at: int, lo: int = 0) -> bool:
     return True
 
 
+def switched(text: str, at: int) -> bool:
+    """Whether the last letter or digit before `at` is Latin: another script after it, behind space, begins anew."""
+    while at > 0 and not text[at - 1].isalnum():
+        at -= 1
+    return at > 0 and text[at - 1].isascii()
+
+
 def mark_class(text: str, start: int, end: int, lo: int = 0) -> int:
     """NEVER, or how the text goes on after the marks text[start:end]."""
     marks = text[start:end]
@@ -117,7 +124,7 @@ def mark_class(text: str, start: int, end: int, lo: int = 0) -> int:
     if "…" in marks or ".." in marks.replace(" ", ""):
         if "?" in marks or "!" in marks:
             return kind
-        return UPPER if kind == UPPER and not c.isdigit() else NEVER
+        return UPPER if (kind == UPPER and not c.isdigit()) or (kind == CASELESS_NEXT and space and switched(text, start)) else NEVER
     if marks == ".":
         return kind if period(text, start, lo) else NEVER
     if STRONG & set(marks):
@@ -218,7 +225,10 @@ def symbols(text: str, lo: int, hi: int, skip: frozenset[str], begin: int = 0) -
         elif c in ":：,，、":
             out.append((s, e, ",", LOWER, words, False))
         else:
-            out.append((s, e, c, next_class(text, e)[0] if c in CLOSERS or c in "“«" else LOWER, words, c in skip))
+            how, space, _ = next_class(text, e) if c in CLOSERS or c in "“«" else (LOWER, False, "")
+            if how == CASELESS_NEXT and space and switched(text, s):
+                how = UPPER
+            out.append((s, e, c, how, words, c in skip))
     if last < hi and not text[last:hi].isspace():
         out.append((hi, hi, "", LOWER, True, False))
     return out

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm import sentence_rules as R
-from sightline.plans.materialize import written
+from sightline.plans.materialize import spread, written
 
 #: Documents longer than this are cut in chunks of this many characters, which are worked on apart.
 CHUNK = 8192
@@ -102,7 +102,7 @@ def spaced(text: str, lo: int, hi: int, thai: bool) -> list[int]:
         elif b:
             run = re.match(r"[A-Za-z0-9 .,+'\-]*", text[e:hi])[0]
             subject = bool(NAME_WORD.match(re.match(r"[A-Za-z]*", nxt)[0])) and e + len(run) < hi and bool(script.match(text[e + len(run)])) and not run.endswith(" ")
-            cut = not thai or subject or after in "\"“„«" or len(re.findall(r"(?<![\w.])[a-z]{2,}(?![\w])", run)) >= 2
+            cut = not thai or subject or after in "\"“„«" or (not re.search(r"\d", nxt) and bool(re.search(r"(?<![\w.])[a-z]{2,}(?![\w])", run))) or bool(re.match(r"\([A-Z][a-z]* [a-z]+ ", text[e:hi]))
         elif a:
             cut = not (thai and COUNTED.match(text, e))
         elif quote:
@@ -112,7 +112,7 @@ def spaced(text: str, lo: int, hi: int, thai: bool) -> list[int]:
             value = bool(re.search(r"\d", token)) or token in ("GB", "TB", "MB", "W", "V", "mAh", "Hz", "MP")
             starts = bool(NAME_WORD.match(word)) and not TIER_WORD.match(word)
             inside = any(NAME_WORD.match(t) and not TIER_WORD.match(t) for t in latin)
-            cut = starts and value and (not inside or named(latin))
+            cut = starts and (named(latin) or (value and not inside))
         if cut:
             ends.append(s)
             latin = []
@@ -300,6 +300,7 @@ def sentences(documents: DataFrame, id: str = "doc_id", text: str = "text", chun
     Null, empty and blank texts give no rows; equal texts in several documents are split in each; rows without an id give none.
     """
     rows = documents.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text")).where(r"_id is not null and _text rlike '\\S'")
+    rows = spread(rows, "_id")
     short = rows.where(F.length("_text") <= chunk).mapInPandas(_whole, "_id long, _ends array<int>")
     long = rows.where(F.length("_text") > chunk)
     cut = written(long.mapInPandas(partial(_chunked, size=chunk), "_id long, _n int, _base int, _slice string, _spans array<struct<lo: int, hi: int, kind: string, begin: int, skip: string>>"), "chunks")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.text import folded
-from sightline.plans.materialize import written
+from sightline.plans.materialize import spread, written
 
 #: A ranks file in tiktoken's form; byte-level, so no text is without tokens, and made for many languages.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -45,9 +45,10 @@ def _sized(parts: Iterator[pd.DataFrame], path: str, terms: bool) -> Iterator[pd
 def sized(documents: DataFrame, tokenizer: str = TOKENIZER, terms: bool = False, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """id, source, key, tokens (and terms, times): each document that has text, with the number of its tokens, as a table in the shared folder.
 
-    key is equal for equal texts; source is without blanks and capitals. Whole texts are encoded, where they are read: no text is shuffled.
+    key is equal for equal texts; source is without blanks and capitals. Whole texts are encoded, where they are read: no text is shuffled (but where a table is read in
+    fewer tasks than there are cores).
     Null and empty texts, which have no tokens, and rows without an id are left out.
     """
     rows = documents.select(F.col(id).cast("long").alias("id"), folded(F.col(source)).alias("source"), F.md5(F.col(text)).alias("key"), F.col(text).alias("_text")).where("id is not null and _text <> ''")
     schema = "id long, source string, key string, tokens long" + (", terms array<int>, times array<int>" if terms else "")
-    return written(rows.mapInPandas(partial(_sized, path=tokenizer, terms=terms), schema), "sized")
+    return written(spread(rows, "id").mapInPandas(partial(_sized, path=tokenizer, terms=terms), schema), "sized")

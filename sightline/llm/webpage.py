@@ -286,7 +286,7 @@ def of_plain(lines: list[str], own: str) -> list[int]:
             continue
         if not (wrapped and rich[i]) and NAME.match(t):
             follows = n + 1 < len(shown) and shown[n + 1] == i + 1 and NAME.match(text[i + 1])
-            if not of_page(t, own) or (follows and keep == []):
+            if keep or follows or not of_page(t, own):  # the page's own name is its heading, or in a list of others
                 before = None
                 continue
         keep.append(i)
