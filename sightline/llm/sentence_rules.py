@@ -31,7 +31,8 @@ STARTERS = re.compile(r"\s+(?:The|This|That|These|Those|It|He|She|We|They|You|I|
 COUNTRIES = frozenset("ee".split())
 
 DOTTED = re.compile(r"^(?:[^\W\d_]\.)+[^\W\d_]$")
-BEFORE = re.compile(r"[^\s.?!…。！？।؟(\[{“„«\"「『（‹]*(?:\.[^\s.?!…。！？।؟(\[{“„«\"「『（‹]+)*$")
+#: What a word doesn't go beyond, looking back from a period; periods within it do belong to it (e.g, U.S).
+BOUNDS = frozenset(" \t\r\n\u00a0\u3000?!…。！？।؟([{“„«\"「『（‹")
 #: A word that leans on the next: l'art., d'env.
 ELIDED = re.compile(r"^(?:[a-zà-ÿ]{1,2}|qu)['’](?=[^\W\d_]{2})", re.I)
 DOMAIN = re.compile(r"[A-Za-z][\w-]*\.[a-z]")
@@ -74,12 +75,16 @@ def next_class(text: str, at: int) -> tuple[int, bool, str]:
     return LOWER, space, c
 
 
-def period(text: str, at: int, lo: int = 0) -> bool:
-    """Whether the single period at `at` may end a sentence, by the word before it and the way the text goes on. lo: where the text begins."""
-    m = BEFORE.search(text, max(lo, at - 40), at)
-    word = ELIDED.sub("", m[0]) if m else ""
-    after = at + 1
-    kind, space, c = next_class(text, after)
+def period(text: str, at: int, lo: int, kind: int, space: bool, c: str) -> bool:
+    """Whether the single period at `at` may end a sentence, by the word before it and the way the text goes on (see next_class). lo: where the text begins."""
+    after, i, least = at + 1, at, max(lo, at - 40)
+    while i > least and text[i - 1] not in BOUNDS:
+        i -= 1
+    word = text[i:at].lstrip(".")
+    if space and kind >= CASELESS_NEXT and not c.isdigit() and len(word) > 8 and word.isalpha():
+        return True
+    if "'" in word or "’" in word:
+        word = ELIDED.sub("", word)
     low = word.lower()
     alone = len(low) == 1 and low.isalpha()
     gap = text[max(lo, at - len(word) - 12) : at - len(word)].rstrip()
@@ -126,7 +131,7 @@ def mark_class(text: str, start: int, end: int, lo: int = 0) -> int:
             return kind
         return UPPER if (kind == UPPER and not c.isdigit()) or (kind == CASELESS_NEXT and space and switched(text, start)) else NEVER
     if marks == ".":
-        return kind if period(text, start, lo) else NEVER
+        return kind if period(text, start, lo, kind, space, c) else NEVER
     if STRONG & set(marks):
         return UPPER if kind != LOWER or c.isalpha() else LOWER
     return kind

@@ -27,6 +27,10 @@ def encoder(path: str):
         from public_tokenizers import PATTERN as pattern
     except ImportError:  # the pattern that byte-level BPE was published with
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    if not Path(path).exists():  # the package has the file wherever it is installed
+        import public_tokenizers
+
+        path = public_tokenizers.path(Path(path).name)
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
     return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
