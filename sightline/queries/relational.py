@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions.text import stripped
 from sightline.operators import confidence as C
 from sightline.operators import entities as E
+from sightline.operators.joins import asof_join
 from sightline.operators.run_metrics import rounded
 from sightline.queries.registry import Registry
 from sightline.sources import views as V
@@ -193,3 +194,49 @@ def q20_evidence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sightings are evidence of their own; held against a plain fold in the tests."""
     d = table(spark, sf_dir, "discovery_results", "candidate_identifier", "source", "result_id", "canonical_url", "raw_reference").where("candidate_identifier is not null")
     return E.evidence_dedup(d.select(F.col("candidate_identifier").alias("device_id"), "source", F.col("result_id").alias("ordinal"), F.sha2("raw_reference", 256).alias("content_hash"), F.col("canonical_url").alias("url")))
+
+
+@RELATIONAL.add(
+    f"""with {V.EVIDENCE_SQL}, o as (select *, max(source_type = 'official') over (partition by device_id) word from evidence)
+select device_id, cast(sum(case when word then weight else {DECAY_SQL} end) as bigint) confidence, max(word) has_official from o group by device_id"""
+)
+def q56_official_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence where one official word keeps all of a device's evidence from decaying."""
+    e = V.evidence(spark, sf_dir)
+    now = C.decayed(F.col("weight"), F.col("source_type"), C.age_days(F.col("first_seen"), NOW))
+    g = e.groupBy("device_id").agg(F.sum("weight").alias("_full"), F.sum(now).alias("_now"), F.max(F.col("source_type") == "official").alias("has_official"))
+    return g.select("device_id", F.when(F.col("has_official"), F.col("_full")).otherwise(F.col("_now")).alias("confidence"), "has_official")
+
+
+@RELATIONAL.add("select source, count(*) n_rows, count(*) filter (manufacturer is null) n_unknown, count(*) filter (manufacturer is not null and manufacturer not in ('samsung', 'google', 'oneplus', 'xiaomi')) n_dropped from discovery_results group by 1")
+def q57_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of makers that aren't on a list are dropped, and counted; those without a maker pass as unknown."""
+    d = table(spark, sf_dir, "discovery_results", "source", "manufacturer")
+    off = F.col("manufacturer").isNotNull() & ~F.col("manufacturer").isin("samsung", "google", "oneplus", "xiaomi")
+    return d.groupBy("source").agg(F.count("*").alias("n_rows"), F.count_if(F.col("manufacturer").isNull()).alias("n_unknown"), F.count_if(off).alias("n_dropped"))
+
+
+@RELATIONAL.add(
+    """with e as (select l_orderkey k, l_shipdate t, l_linenumber n, l_quantity q from lineitem), o as (select o_orderkey k, o_orderdate t0 from orders)
+select e.k, e.n, date_diff('day', t0, t) as days, case when date_diff('day', t0, t) < 30 then 'month' when date_diff('day', t0, t) < 90 then 'quarter' else 'later' end as band from e join o using (k) where date_diff('day', t0, t) between 0 and 60"""
+)
+def q58_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items that followed their order within 60 days, by how soon: an equi join with a range on top."""
+    e = table(spark, sf_dir, "lineitem", "l_orderkey", "l_shipdate", "l_linenumber")
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    days = F.datediff("l_shipdate", "o_orderdate")
+    j = e.join(o, (e["l_orderkey"] == o["o_orderkey"]) & days.between(0, 60))
+    band = F.when(days < 30, "month").when(days < 90, "quarter").otherwise("later")
+    return j.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), days.cast("long").alias("days"), band.alias("band"))
+
+
+@RELATIONAL.add(
+    """with u as (select o_custkey, o_orderdate, max(o_orderkey) urgent_key from orders where o_orderpriority = '1-URGENT' group by 1, 2)
+select o.o_orderkey, u.urgent_key, date_diff('day', u.o_orderdate, o.o_orderdate) as days from orders o asof left join u on o.o_custkey = u.o_custkey and o.o_orderdate > u.o_orderdate"""
+)
+def q59_as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with the same customer's latest urgent order before it."""
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    urgent = o.where("o_orderpriority = '1-URGENT'").select("o_custkey", F.col("o_orderdate").alias("_at"), F.col("o_orderkey").alias("urgent_key"), F.col("o_orderdate").alias("urgent_at"))
+    j = asof_join(o.select("o_orderkey", "o_custkey", "o_orderdate"), urgent, ["o_custkey"], "o_orderdate", "_at", ["urgent_key", "urgent_at"], tie=["urgent_key"], strict=True)
+    return j.select("o_orderkey", "urgent_key", F.datediff("o_orderdate", "urgent_at").cast("long").alias("days"))

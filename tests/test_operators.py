@@ -15,6 +15,7 @@ from sightline.operators import identifiers as I
 from sightline.operators import page_changes as P
 from sightline.operators import run_metrics as M
 from sightline.operators import upsert as U
+from sightline.operators.joins import asof_join
 from sightline.operators.enrichment import enriched, filled_once, inferred_maker
 from sightline.sources import landed as L
 from sightline.sources import sinks as S
@@ -229,3 +230,16 @@ def test_enrichment(spark):
     assert one(spark, inferred_maker(F.col("m")), m="plk110") == "oneplus"
     rows = spark.createDataFrame([("a", 2, "x", None), ("a", 1, None, "q"), ("a", 3, "y", "r")], "k string, n int, c string, d string")
     assert [tuple(r) for r in filled_once(rows, ["k"], ["n"], ["c", "d"]).collect()] == [("a", "x", "q")]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_join_against_brute_force(spark, strict):
+    rng = random.Random(2)
+    left = [(i, rng.choice(["a", "b", None]), rng.choice([*range(12), None])) for i in range(80)]
+    right = [(rng.choice(["a", "b", "c", None]), rng.choice([*range(0, 12, 2), None]), i) for i in range(30)]
+    j = asof_join(spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, rt int, v int"), ["k"], "t", "rt", ["v"], ["v"], strict)
+    got = {r["id"]: r["v"] for r in j.collect()}
+    for i, k, t in left:
+        hits = [(rt, v) for rk, rt, v in right if k is not None and rk == k and rt is not None and t is not None and (rt < t if strict else rt <= t)]
+        assert got[i] == (max(hits)[1] if hits else None)
+    assert len(got) == 80

@@ -22,6 +22,8 @@ def con():
 def test_query(spark, con, name):
     got = entry.queries()[name](spark, DATA)
     assert len(set(got.columns)) == len(got.columns)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     rows = got.toPandas()
     sql = entry.oracle_sql().get(name)
     if sql:
