@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -84,6 +85,9 @@ class Reader(HTMLParser):
         self.close()
         return self
 
+    def updatepos(self, i: int, j: int) -> int:  # rows are counted here, line by line
+        return j
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags[self.row] += 1
         if tag in VOID:
@@ -168,6 +172,7 @@ def content_lines(ratio: np.ndarray) -> np.ndarray:
     return s > (low + high) / 2
 
 
+@lru_cache(maxsize=1 << 16)  # the same menus and footers stand on every page of a host
 def around(text: str) -> bool:
     """Whether a line's text alone shows that it isn't of the main body."""
     key = plain(text)
