@@ -63,6 +63,9 @@ GRAMMARS = {
     ),
     "honor": Grammar([(r"(?i)^Honor Magic ?V?\d{1,2}(?: Pro| Ultra)?$", "Magic"), (r"(?i)^Honor \d{2,4}(?: Pro| Ultra)?$", "Honor")], ["honor", "honor magic"], ["honor"]),
     "realme": Grammar([(r"(?i)^realme \d{1,3}(?: Pro(?: Plus)?| Ultra)?(?: 5G| 4G)?$", "realme"), (r"(?i)^realme (?:GT|Narzo|C)\s?(?:\d{1,3})?[A-Za-z]{0,3}(?: Pro)?(?: 5G)?$", "realme")], ["realme", "realme gt", "realme narzo", "realme c"], ["realme"]),
+    "motorola": Grammar([(r"(?i)^(?:Razr|Edge|Moto [GE])(?: Plus| Ultra| Play| Power| Stylus| Fold)?(?: 5G)?(?: \d{4})?(?: Gen \d)?$", "Motorola")], [], ["razr", "edge", "moto"]),
+    "oppo": Grammar([(r"(?i)^Find [XN]\d{1,3}(?: Pro| Ultra| Max| Flip| F)?(?: 5G| 4G)?$", "Find"), (r"(?i)^(?:Reno|A)\d{1,3}(?: Pro| Ultra| Max| Flip| F)?(?: 5G| 4G)?$", "Reno")], ["find", "find x", "find n", "reno", "a"], ["find", "reno", "oppo a"]),
+    "vivo": Grammar([(r"(?i)^[VXYS]\d{1,3}[A-Z]{0,2}(?: Pro| Ultra| Plus)?(?: 5G)?$", "vivo")], ["v", "x", "y", "s"], ["v", "x", "y", "s"]),
     "asus": Grammar([(r"(?i)^(?:Zenfone|ROG Phone) \d{1,2}(?: Pro| Ultra)?$", "Zenfone")], ["zenfone", "rog phone"], ["zenfone", "rog"]),
 }
 

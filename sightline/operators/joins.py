@@ -25,3 +25,23 @@ def asof_join(left: DataFrame, right: DataFrame, key: Sequence[str], left_time:
     for k in [*key, "_t"]:
         known = known & F.col(k).isNotNull()
     return found.select("_left.*", *[F.when(known, F.col(f"_found.{c}")).alias(c) for c in take])
+
+
+def membership(sets: dict[str, DataFrame], key: str) -> DataFrame:
+    """key and a boolean for each named set: which of them has the key. One aggregate over all sets instead of a chain of full outer joins; null keys are left out."""
+    names = list(sets)
+    every = None
+    for name, df in sets.items():
+        part = df.select(F.col(key).alias(key), F.lit(name).alias("_set")).where(F.col(key).isNotNull())
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy(key).agg(*[F.max(F.col("_set") == n).alias(n) for n in names])
+
+
+def first_answer(asked: DataFrame, answers: Sequence[DataFrame], key: str, value: str) -> DataFrame:
+    """key, value, how: the answer of the first of several tables that has the key, and which one it was (from 0); of several values the least. Keys without an answer are left out."""
+    every = None
+    for i, df in enumerate(answers):
+        part = df.select(F.col(key), F.col(value), F.lit(i).alias("how"))
+        every = part if every is None else every.unionByName(part)
+    best = every.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).agg(F.min(F.struct("how", value)).alias("_b"))
+    return asked.select(key).distinct().join(best, key).select(key, F.col(f"_b.{value}").alias(value), F.col("_b.how").alias("how"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions.text import stripped
 from sightline.operators import confidence as C
 from sightline.operators import entities as E
-from sightline.operators.joins import asof_join
+from sightline.operators.joins import asof_join, first_answer, membership
 from sightline.operators.run_metrics import rounded
 from sightline.queries.registry import Registry
 from sightline.sources import views as V
@@ -240,3 +240,39 @@ def q59_as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     urgent = o.where("o_orderpriority = '1-URGENT'").select("o_custkey", F.col("o_orderdate").alias("_at"), F.col("o_orderkey").alias("urgent_key"), F.col("o_orderdate").alias("urgent_at"))
     j = asof_join(o.select("o_orderkey", "o_custkey", "o_orderdate"), urgent, ["o_custkey"], "o_orderdate", "_at", ["urgent_key", "urgent_at"], tie=["urgent_key"], strict=True)
     return j.select("o_orderkey", "urgent_key", F.datediff("o_orderdate", "urgent_at").cast("long").alias("days"))
+
+
+@RELATIONAL.add(
+    """with l as (select distinct upper(canonical_model) m from model_validations), d as (select distinct upper(model_number) m from devices), a as (select distinct upper(trim(value)) m from aliases where alias_type = 'model'), s as (select distinct upper(candidate_identifier) m from discovery_results),
+k as (select m from l union select m from d union select m from a union select m from s)
+select m, m in (select m from l) listed, m in (select m from d) device, m in (select m from a) alias_of_model, m in (select m from s where m is not null) sighted from k where m is not null"""
+)
+def q60_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the tables know each model number."""
+    t = lambda name, c: table(spark, sf_dir, name, c).select(F.upper(stripped(F.col(c)) if name == "aliases" else F.col(c)).alias("m"))
+    named = table(spark, sf_dir, "aliases", "value", "alias_type").where("alias_type = 'model'").select(F.upper(stripped(F.col("value"))).alias("m"))
+    return membership({"listed": t("model_validations", "canonical_model"), "device": t("devices", "model_number"), "alias_of_model": named, "sighted": t("discovery_results", "candidate_identifier")}, "m")
+
+
+@RELATIONAL.add(
+    """with n as (select distinct candidate_identifier v from discovery_results where candidate_identifier is not null), f as (select family_name v, min(id) id from devices where family_name is not null group by 1), d as (select marketing_name v, min(id) id from devices where marketing_name is not null group by 1)
+select n.v, coalesce(f.id, d.id) id, cast(case when f.id is not null then 0 else 1 end as integer) how from n left join f using (v) left join d using (v) where f.id is not null or d.id is not null"""
+)
+def q61_first_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The device of each identifier by its family's name, else by its marketing name."""
+    asked = table(spark, sf_dir, "discovery_results", "candidate_identifier").select(F.col("candidate_identifier").alias("v")).where("v is not null")
+    d = table(spark, sf_dir, "devices", "id", "family_name", "marketing_name")
+    return first_answer(asked, [d.select(F.col(c).alias("v"), "id") for c in ("family_name", "marketing_name")], "v", "id")
+
+
+@RELATIONAL.add(
+    """select page, last_ok_day from (select source || ' ' || url page, max(fetched_at) filter (status_code between 200 and 299) ok, strftime(max(fetched_at) filter (status_code between 200 and 299), '%Y-%m-%d') last_ok_day, min(fetched_at) f from snapshots group by 1)
+order by case when ok is null then 0 else 1 end, ok, f, page limit 60"""
+)
+def q62_stalest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 60 pages to fetch next: those never fetched well first, then the longest ago."""
+    s = table(spark, sf_dir, "snapshots", "source", "url", "fetched_at", "status_code")
+    ok = F.max(F.when(F.col("status_code").between(200, 299), F.col("fetched_at")))
+    g = s.groupBy(F.concat_ws(" ", "source", "url").alias("page")).agg(ok.alias("ok"), F.min("fetched_at").alias("f"))
+    top = g.orderBy(F.col("ok").isNotNull(), "ok", "f", "page").limit(60)
+    return top.select("page", F.date_format("ok", "yyyy-MM-dd").alias("last_ok_day"))

@@ -15,7 +15,7 @@ from sightline.operators import identifiers as I
 from sightline.operators import page_changes as P
 from sightline.operators import run_metrics as M
 from sightline.operators import upsert as U
-from sightline.operators.joins import asof_join
+from sightline.operators.joins import asof_join, first_answer, membership
 from sightline.operators.enrichment import enriched, filled_once, inferred_maker
 from sightline.sources import landed as L
 from sightline.sources import sinks as S
@@ -98,7 +98,7 @@ def test_evidence_dedup_against_fold(spark):
 
 @pytest.mark.parametrize(
     ("maker", "text", "outcome"),
-    [("google", "Pixel 10 Pro XL", "VALID"), ("google", "Pixel 21", "AMBIGUOUS"), ("google", "pixel", "INVALID"), ("google", "Galaxy S25", "INVALID"), ("oneplus", "CPH2653", "VALID"), ("oneplus", "CPH26531", "AMBIGUOUS"), ("nothing", "Phone (3a) Pro", "VALID"), ("xiaomi", "Redmi Note 14 Pro", "VALID"), ("honor", "honor magic 7 pro", "VALID"), ("realme", "realme GT 7 Pro", "VALID"), ("asus", "Zenfone 12 Ultra", "VALID"), ("google", "Accept all cookies", "INVALID"), ("google", None, "INVALID"), ("nobody", "X 1", "INVALID"), (None, "X 1", "INVALID")],
+    [("google", "Pixel 10 Pro XL", "VALID"), ("google", "Pixel 21", "AMBIGUOUS"), ("google", "pixel", "INVALID"), ("google", "Galaxy S25", "INVALID"), ("oneplus", "CPH2653", "VALID"), ("oneplus", "CPH26531", "AMBIGUOUS"), ("nothing", "Phone (3a) Pro", "VALID"), ("xiaomi", "Redmi Note 14 Pro", "VALID"), ("honor", "honor magic 7 pro", "VALID"), ("realme", "realme GT 7 Pro", "VALID"), ("asus", "Zenfone 12 Ultra", "VALID"), ("motorola", "moto g power 5G 2025", "VALID"), ("motorola", "Moto Z", "AMBIGUOUS"), ("oppo", "Find X8 Ultra", "VALID"), ("oppo", "reno", "INVALID"), ("vivo", "X200 Pro", "VALID"), ("vivo", "iQOO 13", "INVALID"), ("google", "Accept all cookies", "INVALID"), ("google", None, "INVALID"), ("nobody", "X 1", "INVALID"), (None, "X 1", "INVALID")],
 )
 def test_grammars(spark, maker, text, outcome):
     df = spark.createDataFrame([(maker, text)], "m string, c string")
@@ -243,3 +243,10 @@ def test_asof_join_against_brute_force(spark, strict):
         hits = [(rt, v) for rk, rt, v in right if k is not None and rk == k and rt is not None and t is not None and (rt < t if strict else rt <= t)]
         assert got[i] == (max(hits)[1] if hits else None)
     assert len(got) == 80
+
+
+def test_membership_and_first_answer(spark):
+    a, b = spark.createDataFrame([("x",), ("y",), (None,)], "k string"), spark.createDataFrame([("y",), ("y",), ("z",)], "k string")
+    assert {tuple(r) for r in membership({"a": a, "b": b}, "k").collect()} == {("x", True, False), ("y", True, True), ("z", False, True)}
+    one_, two = spark.createDataFrame([("x", 2), ("x", 1), ("q", None)], "k string, v int"), spark.createDataFrame([("x", 0), ("y", 9)], "k string, v int")
+    assert {tuple(r) for r in first_answer(a.unionByName(b), [one_, two], "k", "v").collect()} == {("x", 1, 0), ("y", 9, 1)}
