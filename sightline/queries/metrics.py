@@ -104,10 +104,9 @@ select x.day, string_agg(c.collector, ',' order by c.collector) missing from x j
 def q27_missing_collectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The collectors that are expected and didn't run, for each day: all names less the day's names, as sets; there are as many names as collectors."""
     d = V.runs(spark, sf_dir).select(F.date_format("started_at", "yyyy-MM-dd").alias("day"), "collector").distinct()
-    expected = d.agg(F.collect_set("collector").alias("_all"))
+    expected = d.agg(F.array_sort(F.collect_set("collector")))  # one row of names, put in as a value; array_except keeps their order
     ran = d.groupBy("day").agg(F.collect_set("collector").alias("_ran"))
-    both = ran.withColumn("_one", F.lit(1)).join(F.broadcast(expected.withColumn("_one", F.lit(1))), "_one")  # one row of names
-    return both.select("day", F.array_join(F.array_sort(F.array_except("_all", "_ran")), ",").alias("missing")).where("missing <> ''")
+    return ran.select("day", F.array_join(F.array_except(expected.scalar(), F.col("_ran")), ",").alias("missing")).where("missing <> ''")
 
 
 @METRICS.add(f"with {V.RUNS_SQL}, {NOW_SQL} select collector, strftime(max(started_at), '%Y-%m-%d %H:%M:%S') last_run, arg_max(status, (started_at, run_id)) last_status, max(started_at) + interval 3 hour <= any_value(t) due from runs, now_ group by 1")
