@@ -55,10 +55,19 @@ def repeats(words: list[str]) -> bool:
     return any(n % k == 0 and n // k >= 2 and words == words[:k] * (n // k) for k in range(1, n // 2 + 1))
 
 
+def latin(words: list[str]) -> bool:
+    """Pseudo-Latin: most of the words begin as its words do."""
+    return len(words) >= 3 and sum(bool(LATIN.match(w)) for w in words) >= 0.6 * len(words) and ("lorem" in words or "ipsum" in words or len(words) >= 5)
+
+
+def latin_signs(low: str) -> bool:
+    """Whether any stem of pseudo-Latin is in a line: without one, no word of it can begin so. Beyond ASCII, letters may stand for others regardless of case."""
+    return not low.isascii() or any(x in low for x in T.LATIN_STEMS)
+
+
 #: Cheap signs without which a line needs no closer look.
 FIELD_SIGNS = re.compile(r"[{}\[\]<>$%@]|__|\(\(|XX-|TODO|FIXME|TBD")
 VALUE_SIGNS = re.compile(NO_VALUE)
-LATIN_SIGNS = ("lorem", "ipsum", "dolo", "sita", "ame", "elit", "adip", "incid", "labor", "magn", "ullam", "nostr", "veni", "tetra", "temp", "sed", "ali", "cons")
 #: No failure or filler that is a whole line is longer.
 LONGEST = 240
 
@@ -81,12 +90,10 @@ def evidence(line: str) -> str | None:
     if short and FILLER.match(text):
         return "filler"
     low = text.lower()
-    if sum(x in low for x in LATIN_SIGNS) >= 2 or "ipsum" in low:
-        words = WORD.findall(low)
-        if len(words) >= 3 and sum(bool(LATIN.match(w)) for w in words) >= 0.6 * len(words) and ("lorem" in words or "ipsum" in words or len(words) >= 5):
-            return "filler"
-    first = low.split(None, 1)[0]
-    if low.count(first) > 1 and repeats(WORD.findall(low)):
+    if latin_signs(low) and latin(WORD.findall(low)):
+        return "filler"
+    first = WORD.search(low)
+    if first and low.count(first.group()) > 1 and repeats(WORD.findall(low)):
         return "filler"
     if len(text) < 160:
         parts = SPLIT.split(text)

@@ -167,7 +167,11 @@ FILLERS = (
 )
 
 #: The beginnings of the words of pseudo-Latin filler.
-LATIN = r"(?:lorem|ipsum|dolo|sita|sit|amet|amel|cons?ect|adip|elit|sed|eius|temp|tetra|incid|labor|magn|aliq|enim|minim|veni|quis|nostr|exerc|ullam|nisi|duis|aute|irur|repreh|volup|velit|esse|cill|fugi|null|pari|except|sint|occae|cupid|proid|sunt|culp|offic|deser|moll|anim)\w*"
+LATIN_STEMS = (
+    "lorem ipsum dolo sita sit amet amel conect consect adip elit sed eius temp tetra incid labor magn aliq enim minim veni quis nostr exerc ullam nisi duis aute irur repreh volup velit esse cill fugi null "
+    "pari except sint occae cupid proid sunt culp offic deser moll anim"
+).split()
+LATIN = r"(?:" + "|".join(LATIN_STEMS) + r")\w*"
 
 
 def phrases(*blocks: str) -> frozenset[str]:

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from sightline.llm.page_residue import evidence
+from sightline.llm.page_residue import WORD, evidence, latin, repeats
 from sightline.llm.pages import main_body, residue
 from sightline.llm.webpage import content_lines, main_lines, slug
 
@@ -80,6 +80,23 @@ def test_evidence(line, kind):
     assert evidence(line) == kind
 
 
+STANDARD_FILLER = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea "
+    "commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim "
+    "id est laborum."
+)
+
+
+def test_shortcuts_of_evidence_are_neutral():
+    sentences = STANDARD_FILLER.split(". ")
+    pieces = [" ".join(w[a : a + n]) for s in [STANDARD_FILLER, *sentences] for w in [s.split()] for n in (3, 5, 8) for a in range(len(w))]
+    repeated = ["(Text) text text text", "\u201cText\u201d text, text text.", "- Text. text text text", "One two one two."]
+    for line in [*sentences, *pieces, *repeated, "The battery lasts two days, says the maker."]:
+        words = WORD.findall(line.lower())
+        assert (evidence(line) == "filler") == (latin(words) or repeats(words)), line
+    assert evidence(sentences[-1]) == evidence("Duis aute irure dolor in reprehenderit") == evidence(repeated[0]) == "filler"
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "id string, url string, title string, content string, _key int, kinds string, line_no int")
 
