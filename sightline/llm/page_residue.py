@@ -68,8 +68,11 @@ def latin_signs(low: str) -> bool:
 #: Cheap signs without which a line needs no closer look.
 FIELD_SIGNS = re.compile(r"[{}\[\]<>$%@]|__|\(\(|XX-|TODO|FIXME|TBD")
 VALUE_SIGNS = re.compile(NO_VALUE)
-#: No failure or filler that is a whole line is longer.
-LONGEST = 240
+
+
+def whole(text: str) -> str | None:
+    """Whether a text, of any length, is from start to end a failure or filler."""
+    return "failure" if FAILURE.match(text) else "filler" if FILLER.match(text) else None
 
 
 def evidence(line: str) -> str | None:
@@ -84,21 +87,15 @@ def evidence(line: str) -> str | None:
         return "placeholder"
     if VALUE_SIGNS.search(text) and VALUES.search(text) and not ABOUT_VALUES.search(text):
         return "placeholder"
-    short = len(text) <= LONGEST
-    if short and FAILURE.match(text):
-        return "failure"
-    if short and FILLER.match(text):
-        return "filler"
+    if kind := whole(text):
+        return kind
     low = text.lower()
     if latin_signs(low) and latin(WORD.findall(low)):
         return "filler"
     first = WORD.search(low)
     if first and low.count(first.group()) > 1 and repeats(WORD.findall(low)):
         return "filler"
-    if len(text) < 160:
-        parts = SPLIT.split(text)
-        if 2 <= len(parts) <= 4:
-            kinds = ["failure" if FAILURE.match(p) else "filler" if FILLER.match(p) else None for p in parts]
-            if kinds[0] and all(k or len(p) < 60 for k, p in zip(kinds, parts, strict=True)):
-                return kinds[0]
+    end = SPLIT.search(text)  # sentences: the first is such a text, the others are too, or short
+    if end and (kind := whole(text[: end.start()])) and all(len(p) < 60 or whole(p) for p in SPLIT.split(text[end.end() :])):
+        return kind
     return None

@@ -97,6 +97,26 @@ def test_shortcuts_of_evidence_are_neutral():
     assert evidence(sentences[-1]) == evidence("Duis aute irure dolor in reprehenderit") == evidence(repeated[0]) == "filler"
 
 
+LONG = "the gateway at node seven of the cluster in the second hall gave no answer, " * 6
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        '{"error": "' + LONG + '"}', "Traceback (most recent call last): File main.py, line 7, in start, " + LONG, "Our systems have detected unusual traffic from your network, " + LONG,
+        "Access denied. You do not have permission to see this page, as " + LONG, "Error 504, " + LONG,
+        "Service unavailable. " + "Please try again in a few minutes. " * 2 + "Contact the operator if this goes on. Reference 18af31. The server is temporarily unable to answer your request because of maintenance or load. Thank you.",
+    ],
+)
+def test_failures_of_any_length(line):
+    assert len(line) > 160 and evidence(line) == "failure"
+
+
+def test_long_text_about_failures_is_none():
+    assert evidence("Access denied messages in the gallery are fixed, and " + LONG) is None
+    assert evidence("Access denied. The release of last week fixes this message where albums of more than a thousand pictures are opened. " + LONG) is None
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "id string, url string, title string, content string, _key int, kinds string, line_no int")
 
