@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +16,8 @@ from sightline.plans.materialize import written
 
 #: A line on this share of a host's pages, the host having as many pages as LEAST_PAGES, is the host's boilerplate.
 RECURRENT, LEAST_PAGES = 0.5, 20
+#: A line of so many words, one with a digit among them, is a label and its value (a reference, a time), known whatever the value.
+LABEL_WORDS = 8
 
 
 def _pages(snapshots: DataFrame, id: str, url: str, title: str, content: str) -> DataFrame:
@@ -54,30 +58,50 @@ def main_body(snapshots: DataFrame, id: str = "id", url: str = "url", title: str
     return pages.groupBy("_id").agg(F.min("_key").alias("_key")).join(bodies, "_key").select(F.col("_id").alias("id"), F.explode("_lines").alias("line_no"))
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def _companion(text: str) -> int:
+    """A line beside evidence as it is counted: a label without its value, else as it stands, as pages that differ in a number alone are pages of their own."""
+    words = text.lower().split()
+    return _hash(" ".join(re.sub(r"\w*\d\w*", "#", w) for w in words) if len(words) <= LABEL_WORDS else " ".join(words))
+
+
 def _residues(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
-        found = []
+        found, beside = [], []
         for c, n in zip(p["_content"], p["_name"], strict=True):
             _, texts, notes = main_lines(c, _own(n))
-            kinds = [(k, plain(t)) for t in (texts or notes) if (k := evidence(t))]
-            found.append([{"kind": k, "line": t[:400]} for k, t in dict.fromkeys(kinds)])
-        yield pd.DataFrame({"_key": p["_key"], "_host": p["_host"], "_found": found})
+            kinds = [(k, t) for t in (texts or notes) if t.strip() for k in (evidence(t),)]
+            some = list(dict.fromkeys((k, plain(t)) for k, t in kinds if k))
+            found.append([{"kind": k, "line": t[:400]} for k, t in some])
+            beside.append(list(dict.fromkeys(_companion(t) for k, t in kinds if not k)) if some else [])
+        yield pd.DataFrame({"_key": p["_key"], "_host": p["_host"], "_found": found, "_beside": beside})
 
 
 def residue(snapshots: DataFrame, id: str = "id", url: str = "url", title: str = "title", content: str = "content") -> DataFrame:
     """id, kinds: the rows whose main body shows an unfilled placeholder, filler, or an error, maintenance, access, robot-check or script demand.
 
     Normalised lines (lower case, digits as #) with such evidence are counted by host, over its distinct pages; a line that recurs on a share of
-    RECURRENT of the pages of a host with LEAST_PAGES of them or more is the host's boilerplate and is subtracted; what remains decides. Only
-    lines with evidence are counted, as no other count could change a result. Text in noscript counts only where there is no main body at all.
+    RECURRENT of the pages of a host with LEAST_PAGES of them or more is the host's boilerplate and is subtracted from pages that keep other text
+    of the main body: lines without evidence that don't recur so themselves, as the rest of a message does. A page with nothing else is what the
+    line says (an outage, a robot check) and keeps it, however many pages say so; what remains decides. Lines without evidence are counted only on
+    pages with a line to be subtracted, as no other count could change a result. Text in noscript counts only where there is no main body at all.
     status_code isn't read. kinds: the sorted kinds of evidence. Null, empty and blank contents, and rows without an id, give no rows.
     A row delivered twice counts once. A host with a third of all pages is only ever counted, not gathered.
     """
     pages = _pages(snapshots, id, url, title, content)
-    read = written(_distinct(pages).mapInPandas(_residues, "_key string, _host string, _found array<struct<kind: string, line: string>>"), "residue")
+    read = written(_distinct(pages).mapInPandas(_residues, "_key string, _host string, _found array<struct<kind: string, line: string>>, _beside array<bigint>"), "residue")
     hosts = read.groupBy("_host").agg(F.count("*").alias("_pages"))
-    lines = read.where(F.size("_found") > 0).select("_key", "_host", F.explode("_found").alias("_f")).select("_key", "_host", "_f.kind", "_f.line")
-    common = lines.groupBy("_host", "line").agg(F.countDistinct("_key").alias("_on")).join(hosts, "_host").where((F.col("_pages") >= LEAST_PAGES) & (F.col("_on") >= RECURRENT * F.col("_pages")))
-    left = lines.join(common.select("_host", "line"), ["_host", "line"], "left_anti")
+    recurs = (F.col("_pages") >= LEAST_PAGES) & (F.col("_on") >= RECURRENT * F.col("_pages"))
+    some = read.where(F.size("_found") > 0)
+    lines = some.select("_key", "_host", F.explode("_found").alias("_f")).select("_key", "_host", "_f.kind", "_f.line")
+    common = lines.groupBy("_host", "line").agg(F.countDistinct("_key").alias("_on")).join(hosts, "_host").where(recurs).select("_host", "line")
+    hit = lines.join(common, ["_host", "line"], "left_semi").select("_key", "line").distinct()
+    beside = some.join(hit.select("_key").distinct(), "_key", "left_semi").select("_key", "_host", F.explode("_beside").alias("_line"))
+    usual = beside.groupBy("_host", "_line").agg(F.count("*").alias("_on")).join(hosts, "_host").where(recurs).select("_host", "_line")
+    told = beside.join(usual, ["_host", "_line"], "left_anti").select("_key").distinct()
+    left = lines.join(hit.join(told, "_key", "left_semi"), ["_key", "line"], "left_anti")
     marked = left.groupBy("_key").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     return pages.select("_id", "_key").join(marked, "_key").groupBy(F.col("_id").alias("id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"))

@@ -142,5 +142,17 @@ def test_recurrent_line_of_a_host_is_subtracted(spark):
     assert residue(frame(spark, rows[:5])).count() == 5
 
 
+@pytest.mark.parametrize("n", [5, 30])
+@pytest.mark.parametrize("text", ["Service unavailable.", "Access denied.\nReference 0a{i}bc", "Please enable JavaScript to view this page.\nIf this goes on, write to the operator of the store.\nRay ID: {i}f31 at 12:{i}"])
+def test_pages_with_nothing_else_stay_cases(spark, n, text):
+    rows = [(f"{i}", f"https://h.example/p/{i}", None, text.format(i=i), 0, "", 0) for i in range(n)]
+    assert residue(frame(spark, rows)).count() == n
+
+
+def test_outage_beside_stored_pages(spark):
+    sweeps = [(f"{s}-{i}", f"https://h.example/p/{i}", None, f"Page {i} tells of a phone that nobody has seen so far." if s else "Service unavailable", 0, "", 0) for i in range(30) for s in range(3)]
+    assert {r["id"] for r in residue(frame(spark, sweeps)).collect()} == {f"0-{i}" for i in range(30)}
+
+
 def test_slug():
     assert slug("https://h/p/Alpha-7_pro-00ab/?x=1#y") == "alpha-7-pro-00ab" and slug(None, "Alpha 7 | Acme") == "alpha-7" and slug(None) == ""
