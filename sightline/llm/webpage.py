@@ -230,11 +230,12 @@ def of_markup(r: Reader) -> list[int]:
     if top.own:
         regions.append((top, list(top.own)))
     best, most = None, 0.0
+    seen: dict[Box, tuple[bool, frozenset[int]]] = {}
     for box, lines in regions:
         if not lines:
             continue
         if box is not top:
-            inside = [i for i in lines if not dropped(r, i, box, out)]
+            inside = [i for i in lines if not dropped(r, i, box, out, seen)]
         else:
             inside = lines
         w = weight(inside)
@@ -257,18 +258,36 @@ def of_markup(r: Reader) -> list[int]:
     return inside
 
 
-def dropped(r: Reader, i: int, region: Box, out: dict[int, bool]) -> bool:
-    """Whether a line of a region lies in a box within it that holds a promotion or the like."""
+def verdict(r: Reader, box: Box, out: dict[int, bool]) -> tuple[bool, frozenset[int]]:
+    """Of a box within a region: whether all of it is a promotion or the like, and if not, which of its lines are.
+
+    Known lines make a box theirs if they are most of its text outside links; else they alone aren't of the main body.
+    """
+    if box.tag in ("section", "main", "article", "figure"):
+        return False, frozenset()
+    if box.around:
+        return True, frozenset()
+    lines = box.all
+    if any(r.strong[j] for j in lines):
+        return False, frozenset()
+    if len(lines) <= 4 and all(out[j] or NAME.match(r.text[j]) for j in lines):
+        return True, frozenset()
+    known = frozenset(j for j in lines if plain(r.text[j]) in VOCABULARY)
+    free = {j: len(r.text[j]) - r.linked[j] for j in lines}
+    if known and 2 * sum(free[j] for j in known) >= sum(free.values()):
+        return True, frozenset()
+    return False, known
+
+
+def dropped(r: Reader, i: int, region: Box, out: dict[int, bool], seen: dict[Box, tuple[bool, frozenset[int]]]) -> bool:
+    """Whether a line of a region is a promotion or the like, or lies in a box within it that holds one. seen: the verdicts so far."""
     box = r.where[i]
     while box is not region and box is not None:
-        if box.tag not in ("section", "main", "article", "figure"):
-            if box.around:
-                return True
-            lines = box.all
-            if any(plain(r.text[j]) in VOCABULARY for j in lines) and not any(r.strong[j] for j in lines):
-                return True
-            if len(lines) <= 4 and all(out[j] or NAME.match(r.text[j]) for j in lines) and not any(r.strong[j] for j in lines):
-                return True
+        if box not in seen:
+            seen[box] = verdict(r, box, out)
+        whole, known = seen[box]
+        if whole or i in known:
+            return True
         box = box.up
     return False
 

@@ -41,6 +41,13 @@ def test_main_body_of_markup():
     assert [lines[i] for i in keep] == ["<h1>Alpha 7 Pro (AB123)</h1>", "<p>The battery lasts two days, says the maker. It charges in an hour.</p>", "<table><tr><td>AB123 / US</td></tr></table>"]
 
 
+def test_known_line_does_not_take_its_box_along():
+    text = "\n".join(f"<p>Paragraph {i} tells at some length how the phone did in use.</p>" for i in range(40))
+    page = f"<html><body>\n<header>\n<a href='/'>Home</a>\n</header>\n<main>\n<h1>Alpha 7 Pro</h1>\n<div>\n{text}\n<a href='/m'>More</a>\n</div>\n<div>\n<p>Related articles</p>\n<a href='/8'>How the Alpha 8 did in use</a>\n<a href='/9'>How the Alpha 9 did in use</a>\n</div>\n</main>\n<footer>\n<p>All rights reserved.</p>\n</footer>\n</body></html>"
+    kept = [page.split("\n")[i] for i in main_lines(page, "alpha-7-pro")[0]]
+    assert kept == ["<h1>Alpha 7 Pro</h1>", *text.split("\n")]
+
+
 def test_main_body_of_plain_text():
     page = "Accept all cookies\nHome | Compare | Support\nHome > Acme US > Beta 12 Pro\nRelated articles\nBeta 14\nBeta 12 Pro\n\nThe hinge feels firm after a week of use, and the\nscreen is bright.\nWas this page helpful? Yes / No\nTerms of use · Privacy policy · © 2031 Acme US\n[0a1b2c3d]"
     keep = main_lines(page, "beta-12-pro-0000aa")[0]
