@@ -48,7 +48,8 @@ def main_body(snapshots: DataFrame, id: str = "id", url: str = "url", title: str
 
     A page is read line by line through the standard library's parser; per line, visible text is set against the tags there, the ratios are
     smoothed by a Gaussian and clustered in two; the region (element below which the page divides) that holds most text of the upper cluster,
-    outside links and outside the vocabulary of menus, footers and the like, is the main body, less the boxes within it that hold promotions.
+    outside links and outside the vocabulary of menus, footers and the like, is the main body, less the boxes within it that hold promotions; so
+    is every other region whose text of the upper cluster, headings and cells, outside links, outweighs its known lines and lines of links alone.
     A page without markup is judged line by line, with separators in the place of tags; a product's name by itself is the page's only if its
     address (or title) says so. Pages of a null, empty or blank content, and rows without an id, give no rows; so does an empty table.
     Very long pages are read as a stream of lines. A row delivered twice (same id) counts once; if its copies differ, the one with the least key counts.

@@ -154,14 +154,11 @@ def smoothed(ratio: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(ratio, k, mode="reflect"), KERNEL, "valid")
 
 
-def content_lines(ratio: np.ndarray) -> np.ndarray:
-    """Which lines are in the upper of two clusters of the smoothed ratios (two means, whose midpoint is the threshold)."""
-    s = np.log1p(smoothed(ratio))
-    if not len(s):
-        return np.zeros(0, bool)
+def threshold(s: np.ndarray) -> float:
+    """The midpoint of two means of the logarithms of smoothed ratios; below all if they are all the same."""
     low, high = s.min(), s.max()
     if high - low < 1e-9:
-        return np.ones(len(s), bool)
+        return -np.inf
     for _ in range(12):
         t = (low + high) / 2
         up = s > t
@@ -169,7 +166,13 @@ def content_lines(ratio: np.ndarray) -> np.ndarray:
         if abs(a - low) + abs(b - high) < 1e-6:
             break
         low, high = a, b
-    return s > (low + high) / 2
+    return (low + high) / 2
+
+
+def content_lines(ratio: np.ndarray) -> np.ndarray:
+    """Which lines are in the upper of two clusters of the smoothed ratios (two means, whose midpoint is the threshold)."""
+    s = np.log1p(smoothed(ratio))
+    return s > threshold(s) if len(s) else np.zeros(0, bool)
 
 
 @lru_cache(maxsize=1 << 16)  # the same menus and footers stand on every page of a host
@@ -206,7 +209,11 @@ def of_markup(r: Reader) -> list[int]:
         return []
     size = np.array([len(r.text[i]) for i in shown], float)
     tags = np.array([r.tags[i] for i in shown], float)
-    rich = dict(zip(shown, content_lines(size / (tags + 1)), strict=True))
+    ratio = size / (tags + 1)
+    s = np.log1p(smoothed(ratio))
+    t = threshold(s)
+    rich = dict(zip(shown, s > t, strict=True))
+    alone = dict(zip(shown, np.log1p(ratio) > t, strict=True))  # a region of a line or two is smoothed away by what is around it
     out = {i: around(r.text[i]) for i in shown}
     for i in shown:
         r.where[i].add(i)
@@ -229,8 +236,21 @@ def of_markup(r: Reader) -> list[int]:
     regions = [(k, k.all) for k in top.kids]
     if top.own:
         regions.append((top, list(top.own)))
+    def discount(box: Box, inside: list[int]) -> float:
+        direct = [i for i in inside if r.where[i] is box or r.where[i].up is box]
+        return 0.1 if not any(r.strong[i] for i in inside) and any(out[i] for i in direct) else 1.0  # some of a region's own lines are known from menus, footers and the like
+
+    def of_body(box: Box, lines: list[int], inside: list[int]) -> bool:
+        """Whether a region beside the heaviest is of the body too: its text outside links outweighs known lines and lines of links alone."""
+        if box is not top and box.around and not box.main:
+            return False
+        free = {i: len(r.text[i]) - r.linked[i] for i in lines}
+        own = sum(free[i] for i in inside if not out[i] and (rich[i] or alone[i] or r.strong[i]))
+        return own * discount(box, inside) > sum(len(r.text[i]) for i in lines if out[i] or free[i] <= 0)
+
     best, most = None, 0.0
     seen: dict[Box, tuple[bool, frozenset[int]]] = {}
+    judged = []
     for box, lines in regions:
         if not lines:
             continue
@@ -238,12 +258,10 @@ def of_markup(r: Reader) -> list[int]:
             inside = [i for i in lines if not dropped(r, i, box, out, seen)]
         else:
             inside = lines
+        judged.append((box, lines, inside))
         w = weight(inside)
         if box is not top:
-            direct = [i for i in inside if r.where[i] is box or r.where[i].up is box]
-            marked = any(r.strong[i] for i in inside)
-            if not marked and any(out[i] for i in direct):
-                w *= 0.1  # some of a region's own lines are known from menus, footers and the like
+            w *= discount(box, inside)
             if box.around and not box.main:
                 w *= 0.02
             elif box.main:
@@ -252,10 +270,13 @@ def of_markup(r: Reader) -> list[int]:
             best, most = (box, inside), w
     if best is None:
         return []
-    box, inside = best
-    if box.around and not box.main and most < 1:
+    if best[0].around and not best[0].main and most < 1:
         return []
-    return inside
+    keep = list(best[1])
+    for box, lines, inside in judged:
+        if box is not best[0] and of_body(box, lines, inside):
+            keep += [i for i in inside if r.strong[i] or not out[i]]
+    return sorted(keep)
 
 
 def verdict(r: Reader, box: Box, out: dict[int, bool]) -> tuple[bool, frozenset[int]]:

@@ -48,6 +48,29 @@ def test_known_line_does_not_take_its_box_along():
     assert kept == ["<h1>Alpha 7 Pro</h1>", *text.split("\n")]
 
 
+@pytest.mark.parametrize("tag", ["section", "article", "div"])
+def test_every_region_of_the_body_is_kept(tag):
+    body = f"""<h1>Alpha 7 Pro</h1>
+<{tag}>
+<p>The battery lasts two days, says the maker. It charges in an hour, and the screen is bright.</p>
+<p>The hinge feels firm after a week of use, and the phone stays cool.</p>
+</{tag}>
+<{tag}>
+<h2>Specifications</h2>
+<table>
+<tr><td>Display</td><td>6.1 in</td></tr>
+<tr><td>Storage</td><td>128 GB</td></tr>
+</table>
+</{tag}>
+<{tag}>
+<p>Notes: figures were taken at room temperature by the maker.</p>
+</{tag}>"""
+    around = "<div class='zz-1'>\n<a href='/'>Home</a>\n<a href='/s'>Support</a>\n</div>", "<div class='zz-2'>\n<p>Related articles</p>\n<a href='/8'>How the Alpha 8 did in use</a>\n</div>\n<footer>\n<p>All rights reserved.</p>\n</footer>"
+    page = f"<html><body>\n{around[0]}\n{body}\n{around[1]}\n</body></html>"
+    lines = page.split("\n")
+    assert [lines[i] for i in main_lines(page, "alpha-7-pro")[0]] == [x for x in body.split("\n") if any(t in x for t in ("<h", "<p", "<td"))]
+
+
 def test_main_body_of_plain_text():
     page = "Accept all cookies\nHome | Compare | Support\nHome > Acme US > Beta 12 Pro\nRelated articles\nBeta 14\nBeta 12 Pro\n\nThe hinge feels firm after a week of use, and the\nscreen is bright.\nWas this page helpful? Yes / No\nTerms of use · Privacy policy · © 2031 Acme US\n[0a1b2c3d]"
     keep = main_lines(page, "beta-12-pro-0000aa")[0]
