@@ -76,7 +76,7 @@ def _residues(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             _, texts, notes = main_lines(c, _own(n))
             kinds = [(k, t) for t in (texts or notes) if t.strip() for k in (evidence(t),)]
             some = list(dict.fromkeys((k, plain(t)) for k, t in kinds if k))
-            found.append([{"kind": k, "line": t[:400]} for k, t in some])
+            found.append([{"kind": k, "line": _hash(t)} for k, t in some])
             beside.append(list(dict.fromkeys(_companion(t) for k, t in kinds if not k)) if some else [])
         yield pd.DataFrame({"_key": p["_key"], "_host": p["_host"], "_found": found, "_beside": beside})
 
@@ -84,7 +84,7 @@ def _residues(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def residue(snapshots: DataFrame, id: str = "id", url: str = "url", title: str = "title", content: str = "content") -> DataFrame:
     """id, kinds: the rows whose main body shows an unfilled placeholder, filler, or an error, maintenance, access, robot-check or script demand.
 
-    Normalised lines (lower case, digits as #) with such evidence are counted by host, over its distinct pages; a line that recurs on a share of
+    Normalised lines (lower case, digits as #) with such evidence are counted by host, as a hash of the whole line, over its distinct pages; a line that recurs on a share of
     RECURRENT of the pages of a host with LEAST_PAGES of them or more is the host's boilerplate and is subtracted from pages that keep other text
     of the main body: lines without evidence that don't recur so themselves, as the rest of a message does. A page with nothing else is what the
     line says (an outage, a robot check) and keeps it, however many pages say so; what remains decides. Lines without evidence are counted only on
@@ -93,7 +93,7 @@ def residue(snapshots: DataFrame, id: str = "id", url: str = "url", title: str =
     A row delivered twice counts once. A host with a third of all pages is only ever counted, not gathered.
     """
     pages = _pages(snapshots, id, url, title, content)
-    read = written(_distinct(pages).mapInPandas(_residues, "_key string, _host string, _found array<struct<kind: string, line: string>>, _beside array<bigint>"), "residue")
+    read = written(_distinct(pages).mapInPandas(_residues, "_key string, _host string, _found array<struct<kind: string, line: bigint>>, _beside array<bigint>"), "residue")
     hosts = read.groupBy("_host").agg(F.count("*").alias("_pages"))
     recurs = (F.col("_pages") >= LEAST_PAGES) & (F.col("_on") >= RECURRENT * F.col("_pages"))
     some = read.where(F.size("_found") > 0)

@@ -184,5 +184,12 @@ def test_outage_beside_stored_pages(spark):
     assert {r["id"] for r in residue(frame(spark, sweeps)).collect()} == {f"0-{i}" for i in range(30)}
 
 
+def test_long_lines_with_a_common_start_are_different(spark):
+    start = '{"error": "' + "the gateway gave no answer, " * 20
+    words = [f"{a}{b}" for a in "abcdef" for b in "vwxyz"]
+    rows = [(w, f"https://h.example/p/{w}", None, f'{start} node {w}"}}\nPage {w} tells of a phone that nobody has seen so far.', 0, "", 0) for w in words]
+    assert len(start) > 400 and residue(frame(spark, rows)).count() == len(words) == 30
+
+
 def test_slug():
     assert slug("https://h/p/Alpha-7_pro-00ab/?x=1#y") == "alpha-7-pro-00ab" and slug(None, "Alpha 7 | Acme") == "alpha-7" and slug(None) == ""
