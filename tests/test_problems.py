@@ -97,6 +97,17 @@ def brute_spikes(rows):
     return out
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_spikes_of_a_bursty_collector(spark, partitions):
+    """Runs 4 times above a median of 100, from which runs usually differ by 80: the residual is under the threshold."""
+    c = [20 if i % 4 == 0 else 180 if i % 4 == 1 else 100 + (-1) ** (i // 2) * 80 * (i % 4 == 2) for i in range(400)]
+    for at in (103, 211, 307):
+        c[at] = 401
+    rows = [(f"r{i}", "bursty", T0 + timedelta(minutes=30 * i), T0, x, 0, 100, 50, "x", 1, "y", 0) for i, x in enumerate(c)]
+    got = metric_spikes(spark.createDataFrame(rows, RUN), partitions).toPandas()
+    assert set(got[got["spike"]]["id"]) == brute_spikes(rows)["spike"] == {"r103", "r211", "r307"}
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_metric_spikes_against_brute_force(spark, partitions):
     rng = np.random.default_rng(3)
