@@ -44,7 +44,7 @@ def image_class(alt: Column, url: Column) -> Column:
 def model_references(text: Column) -> Column:
     """Model numbers and names in a text, sorted, each once."""
     found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in MODELS]))
-    return F.array_sort(F.array_distinct(F.transform(found, F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda m: F.trim(m))))  # F.trim itself would take the index as the characters to trim
 
 
 def sha(c: Column) -> Column:

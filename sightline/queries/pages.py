@@ -83,6 +83,13 @@ def q40_model_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("result_id", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("models")).where("models <> ''")
 
 
+@PAGES.add()
+def q63_all_model_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model codes and names in each sighting's reference: all patterns, of which q40 and its SQL have the four of codes."""
+    d = table(spark, sf_dir, "discovery_results", "result_id", "raw_reference").where("raw_reference is not null")
+    return d.select("result_id", F.array_join(P.model_references(F.col("raw_reference")), ",").alias("models")).where("models <> ''")
+
+
 WORDS_SQL = "'" + "', '".join(I.STOP_WORDS) + "'"
 REJECT_SQL = (
     "case when t = '' then 'empty' when length(t) > 40 then 'too_long' "

@@ -31,6 +31,19 @@ def test_query(spark, con, name):
         assert list(a.columns) == list(b.columns) and a.equals(b)
 
 
+def test_references_to_names_are_found(spark):
+    import re
+
+    import pyarrow.parquet as pq
+
+    from sightline.operators.page_changes import MODELS
+
+    rows = pq.read_table(f"{DATA}/discovery_results.parquet", columns=["result_id", "raw_reference"]).to_pylist()
+    want = {r["result_id"]: ",".join(m) for r in rows if (m := sorted({x.strip() for p in MODELS for x in re.findall(p, r["raw_reference"] or "")}))}
+    got = {r["result_id"]: r["models"] for r in entry.queries()["q63_all_model_references"](spark, DATA).collect()}
+    assert got == want and any("pixel" in x.lower() for x in got.values())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
