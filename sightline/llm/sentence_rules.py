@@ -33,9 +33,14 @@ COUNTRIES = frozenset("ee".split())
 DOTTED = re.compile(r"^(?:[^\W\d_]\.)+[^\W\d_]$")
 #: What a word doesn't go beyond, looking back from a period; periods within it do belong to it (e.g, U.S).
 BOUNDS = frozenset(" \t\r\n\u00a0\u3000?!…。！？।؟([{“„«\"「『（‹")
+#: The longest word that is looked at letter by letter; no abbreviation is as long. Of longer ones all that matters is whether they are addresses.
+WORD = 64
+#: What bounds a word, and what shows that it is an address.
+ADDRESS = re.compile("[" + re.escape("".join(sorted(BOUNDS))) + "]|://|@")
 #: A word that leans on the next: l'art., d'env.
 ELIDED = re.compile(r"^(?:[a-zà-ÿ]{1,2}|qu)['’](?=[^\W\d_]{2})", re.I)
-DOMAIN = re.compile(r"[A-Za-z][\w-]*\.[a-z]")
+#: What follows a period within a domain; a label of one has 63 characters at most.
+DOMAIN = re.compile(r"[A-Za-z][\w-]{0,62}\.[a-z]")
 SPECIAL = re.compile(r"[.!?…。！？।॥؟۔]+(?: ?\.{2,})?|[\"“”„«»‹›「」『』()\[\]{}（）【】:：,，、]")
 CLOSERS = "\"”’»›」』)]}）】'"
 SHUT = "”’»›」』)]}）】"
@@ -75,11 +80,32 @@ def next_class(text: str, at: int) -> tuple[int, bool, str]:
     return LOWER, space, c
 
 
-def period(text: str, at: int, lo: int, kind: int, space: bool, c: str) -> bool:
-    """Whether the single period at `at` may end a sentence, by the word before it and the way the text goes on (see next_class). lo: where the text begins."""
-    after, i, least = at + 1, at, max(lo, at - 40)
+class Word:
+    """Whether the word at a place that moves on through a text is an address. Each character is read once, however long the word is."""
+
+    __slots__ = ("at", "address")
+
+    def __init__(self, at: int, address: bool = False):
+        self.at, self.address = at, address
+
+    def upto(self, text: str, to: int) -> bool:
+        for m in ADDRESS.finditer(text, self.at, to):
+            self.address = m[0] not in BOUNDS
+        self.at = max(self.at, to)
+        return self.address
+
+
+def period(text: str, at: int, lo: int, kind: int, space: bool, c: str, look: Word) -> bool:
+    """Whether the single period at `at` may end a sentence, by the word before it and the way the text goes on (see next_class).
+
+    lo: where the text begins. look: knows of a word longer than WORD whether it is an address."""
+    after, i, least = at + 1, at, max(lo, at - WORD)
     while i > least and text[i - 1] not in BOUNDS:
         i -= 1
+    if i == least and i > lo and text[i - 1] not in BOUNDS:  # a longer word
+        if space or not c:
+            return True
+        return not (c.isdigit() or kind == LOWER or (kind == UPPER and c.isalpha() and (DOMAIN.match(text, after) or look.upto(text, at))))
     word = text[i:at].lstrip(".")
     if space and kind >= CASELESS_NEXT and not c.isdigit() and len(word) > 8 and word.isalpha():
         return True
@@ -122,7 +148,7 @@ def switched(text: str, at: int) -> bool:
     return at > 0 and text[at - 1].isascii()
 
 
-def mark_class(text: str, start: int, end: int, lo: int = 0) -> int:
+def mark_class(text: str, start: int, end: int, lo: int, look: Word) -> int:
     """NEVER, or how the text goes on after the marks text[start:end]."""
     marks = text[start:end]
     kind, space, c = next_class(text, end)
@@ -131,7 +157,7 @@ def mark_class(text: str, start: int, end: int, lo: int = 0) -> int:
             return kind
         return UPPER if (kind == UPPER and not c.isdigit()) or (kind == CASELESS_NEXT and space and switched(text, start)) else NEVER
     if marks == ".":
-        return kind if period(text, start, lo, kind, space, c) else NEVER
+        return kind if period(text, start, lo, kind, space, c, look) else NEVER
     if STRONG & set(marks):
         return UPPER if kind != LOWER or c.isalpha() else LOWER
     return kind
@@ -215,22 +241,28 @@ def unpaired(text: str) -> frozenset[str]:
     return frozenset(bad)
 
 
-def symbols(text: str, lo: int, hi: int, skip: frozenset[str], begin: int = 0) -> list[tuple[int, int, str, int, bool, bool]]:
+def symbols(text: str, lo: int, hi: int, skip: frozenset[str], begin: int = 0, address: bool = False) -> list[tuple[int, int, str, int, bool, bool]]:
     """The symbols of text[lo:hi]: start, end, symbol, how the text goes on, whether words come before it, whether it is neutral.
 
-    Looks a few dozen characters around each, beyond lo and hi too; begin: where the piece begins, the furthest to look back."""
-    out, last = [], lo
+    Looks a few dozen characters around each, beyond lo and hi too; begin: where the piece begins, the furthest to look back; address: whether
+    the word at lo is an address by what lies before lo."""
+    out, last, look = [], lo, Word(lo, address)
+    shut, told = -1, (LOWER, False, "")  # after one closer, the text goes on as after the closers behind it
     for m in SPECIAL.finditer(text, lo, hi):
         s, e = m.span()
         c = m[0]
         words = s > last and not text[last:s].isspace()
         last = e
         if c[0] in ".!?…。！？।॥؟۔":
-            out.append((s, e, ".", mark_class(text, s, e, begin), words, False))
+            out.append((s, e, ".", mark_class(text, s, e, begin, look), words, False))
         elif c in ":：,，、":
             out.append((s, e, ",", LOWER, words, False))
         else:
-            how, space, _ = next_class(text, e) if c in CLOSERS or c in "“«" else (LOWER, False, "")
+            how, space, after = (told if s < shut else next_class(text, e)) if c in CLOSERS or c in "“«" else (LOWER, False, "")
+            if s >= shut and c in SHUT:
+                shut, told = e, (how, space, after)
+                while shut < len(text) and text[shut] in SHUT:
+                    shut += 1
             if how == CASELESS_NEXT and space and switched(text, s):
                 how = UPPER
             out.append((s, e, c, how, words, c in skip))

@@ -119,17 +119,22 @@ def spaced(text: str, lo: int, hi: int, thai: bool) -> list[int]:
     return ends
 
 
+def shut(text: str, e: int, hi: int) -> int:
+    """An end moved past the closers that follow it."""
+    while e < hi and text[e] in R.CLOSERS and (text[e] not in "\"'" or (e + 1 >= hi or text[e + 1].isspace() or text[e + 1] in R.CLOSERS)):
+        e += 1
+    return e
+
+
 def trimmed(text: str, lo: int, ends: list[int], hi: int) -> list[int]:
-    """The ends, each moved past the closers that follow it, without space before it, without those that hold nothing; hi is the last."""
-    out, at = [], lo
-    for e in [*ends, hi]:
-        while e < hi and text[e] in R.CLOSERS and (text[e] not in "\"'" or (e + 1 >= hi or text[e + 1].isspace() or text[e + 1] in R.CLOSERS)):
-            e += 1
-        while e > at and text[e - 1].isspace():
+    """The ends, each moved past the closers that follow it, without space before it."""
+    out = []
+    for e in ends:
+        e = shut(text, e, hi)
+        while e > lo and text[e - 1].isspace():
             e -= 1
-        if e > at and text[at:e].strip():
+        if e > lo:
             out.append(e)
-            at = e
     return out
 
 
@@ -149,73 +154,125 @@ def closed(text: str, lo: int, hi: int) -> int:
     return 2 if len(tail) == hi - lo else 1
 
 
-def of_piece(text: str, lo: int, hi: int, kind: str, ends: list[int], marked: bool) -> list[int]:
-    """Where the sentences of a piece end, given where the transducer says so and whether the document has marks elsewhere."""
+#: Of a piece: where it lies, its kind, how it ends (see closed), where it also ends a sentence, and where it does if it is bare of marks.
+Outline = tuple[int, int, str, int, list[int], list[int]]
+
+
+def outline(text: str, lo: int, hi: int, kind: str) -> Outline:
+    """What a piece's text says about its sentences beside its marks: ends at spaces in Thai and, where there are no marks, at line ends and in Chinese at spaces."""
     if kind == "item":
-        return [hi]
+        return lo, hi, kind, 0, [], []
     body = text[lo:hi]
-    ends = [e for e in ends if text[e:hi].strip()]
-    how = closed(text, lo, hi)
-    bare = not ends and (how == 0 or (how == 1 and not marked))
-    if THAI.search(body):
-        ends = sorted({*ends, *spaced(text, lo, hi, True)})
+    thai = bool(THAI.search(body))
     chinese = HAN.search(body) and not re.search(r"[぀-ヿ]", body)
-    if bare or (chinese and not re.search(r"[。！？](?![”」』\"])", body)):
-        ends = sorted({*ends, *(lo + i for i in (() if THAI.search(body) else lines_of(text, lo, hi))), *(spaced(text, lo, hi, False) if chinese else ())})
-    return trimmed(text, lo, ends, hi)
+    always = spaced(text, lo, hi, True) if thai else []
+    bare = sorted({*(() if thai else (lo + i for i in lines_of(text, lo, hi))), *(spaced(text, lo, hi, False) if chinese else ())})
+    if chinese and not re.search(r"[。！？](?![”」』\"])", body):
+        always, bare = sorted({*always, *bare}), []
+    return lo, hi, kind, closed(text, lo, hi), trimmed(text, lo, always, hi), trimmed(text, lo, bare, hi)
+
+
+def finished(found: list[tuple[Outline, list[int]]]) -> list[int]:
+    """The ends in all pieces, given those that the transducer tells. A document has marks if any piece of running text in it shows one of its own."""
+    marked = any(ends or piece[3] == 2 for piece, ends in found if piece[2] == "text")
+    out: list[int] = []
+    for (_, hi, kind, how, always, bare), ends in found:
+        if kind == "text":
+            unmarked = not ends and (how == 0 or (how == 1 and not marked))
+            out += sorted({*ends, *always, *(bare if unmarked else ())} - {hi})
+        out.append(hi)
+    return out
 
 
-def finished(text: str, found: list[tuple[Piece, list[int]]]) -> list[int]:
-    """The ends of all pieces. A document has marks if any piece of running text in it shows one of its own."""
-    marked = any(ends and text[ends[0] : hi].strip() or closed(text, lo, hi) == 2 for (lo, hi, kind), ends in found if kind == "text")
-    return [e for (lo, hi, kind), ends in found for e in of_piece(text, lo, hi, kind, ends, marked)]
+def told(text: str, lo: int, hi: int) -> list[int]:
+    """Where the transducer says that sentences of a piece end, but for its own end."""
+    return [shut(text, e, hi) for e in R.run(marks_in(text, lo, hi), R.START)[1] if e < hi]
 
 
 def sentence_ends(text: str | None) -> list[int]:
     """Code points from the start of text to the end of each of its sentences."""
     if not text:
         return []
-    return finished(text, [((lo, hi, kind), [] if kind == "item" else R.run(marks_in(text, lo, hi), R.START)[1]) for lo, hi, kind in pieces(text)])
+    return finished([(outline(text, *p), told(text, p[0], p[1]) if p[2] == "text" else []) for p in pieces(text)])
 
 
 # Long documents: each chunk is a function from the state before it to the state after it; a prefix scan composes these.
 
-#: As far as a rule looks around a mark, before a chunk and behind it.
-REACH = 96
+#: As far as a rule looks around a mark, before a chunk and behind it: a word, and what is before it.
+REACH = R.WORD + 32
+#: Where a chunk may end: after a letter or digit, and not before a mark.
+CUT = re.compile(r"[^\W_](?![.!?…。！？।॥؟۔\"“”„«»‹›「」『』()\[\]{}（）【】:：,，、'’])")
 
+#: A stretch of a piece in a chunk: start, end, where the piece begins and ends, what is unpaired in the piece, the quotation marks and brackets that
+#: may be open at the start, and whether the word there is an address.
+SPAN = "lo int, hi int, begin int, end int, skip string, open string, address boolean"
+Span = tuple[int, int, int, int, str, str, bool]
 
-def chunks(text: str, size: int) -> Iterator[tuple[int, int, list[tuple[int, int, str, int, list[str]]]]]:
-    """Ranges of about `size` characters, and in each the stretches of pieces: (start, end, kind, where the piece begins, what is unpaired in it)."""
-    lo, spans = 0, []
-    for a, b, kind in pieces(text):
-        skip = sorted(R.unpaired(text[a:b])) if kind == "text" else []
-        at = a
+
+def chunks(text: str, size: int, found: list[Piece]) -> Iterator[list[Span]]:
+    """The running text of a document in stretches of at most about `size` characters, cut between any two characters of which neither is a mark."""
+    spans: list[Span] = []
+    held = 0
+    for a, b, kind in found:
+        if kind != "text":
+            continue
+        body = text[a:b]
+        skip = R.unpaired(body)
+        opened = "".join(sorted({c for c in set(body) if (c in R.QUOTES or c in "([{（【") and c not in skip}))
+        at, word = a, R.Word(a)
         while at < b:
             cut = b
-            if kind == "text" and b - lo > size:
-                cut = min(b, max(at + 1, lo + size))
-                while cut < b and not (text[cut - 1].isalnum() and text[cut].isspace()):  # between words, so that no mark is cut
-                    cut += 1
-            spans.append((at, cut, kind, a, skip))
+            if b - at > size - held:
+                m = CUT.search(text, min(b, at + max(1, size - held)) - 1, b)
+                cut = m.end() if m else b
+            spans.append((at, cut, a, b, "".join(sorted(skip)), opened if at > a else "", word.address))
+            held += cut - at
             at = cut
-            if at - lo >= size:
-                yield lo, at, spans
-                lo, spans = at, []
+            if cut < b:
+                word.upto(text, cut)
+            if held >= size:
+                yield spans
+                spans, held = [], 0
     if spans:
-        yield lo, len(text), spans
+        yield spans
 
 
 STATES: list[R.State] = [(w, q, b, m) for w in range(3) for q in [0, *range(3, 27)] for b in range(3) for m in (False, True)]
 NUMBER = {s: i for i, s in enumerate(STATES)}
 
 
-def effect(marks: list) -> np.ndarray:
-    """The state after these symbols for every state before them."""
-    now = list(STATES)
-    for _, _, symbol, how, words, neutral in marks:
-        to = {s: R.step(s, symbol, how, words, neutral)[0] for s in set(now)}
-        now = [to[s] for s in now]
-    return np.array([NUMBER[s] for s in now], np.int16)
+def starts(opened: str) -> list[R.State]:
+    """The states in which text may go on whose piece has these quotation marks and brackets."""
+    quotes = [0, *(R.QUOTES[c] * 3 + w for c in opened if c in R.QUOTES for w in range(3))]
+    brackets = range(3) if any(c in "([{（【" for c in opened) else range(1)
+    return [(w, q, b, m) for w in range(3) for q in quotes for b in brackets for m in (False, True)]
+
+
+def fan(marks: list, begin: list[R.State]) -> tuple[list[R.State], list[list[int]], list[int]]:
+    """The transducer from several states at once: the state that each leads to, where sentences end as long as it matters which it was, and where they end from then on."""
+    now: dict[R.State, list[int]] = {s: [i] for i, s in enumerate(begin)}
+    heads: list[list[int]] = [[] for _ in begin]
+    tail: list[int] = []
+    for n, (_, e, symbol, how, words, neutral) in enumerate(marks):
+        if len(now) == 1:  # all lead here
+            state, tail = R.run(marks[n:], next(iter(now)))
+            return [state] * len(begin), heads, tail
+        then: dict[R.State, list[int]] = {}
+        for s, who in now.items():
+            to, ended = R.step(s, symbol, how, words, neutral)
+            if ended:
+                for i in who:
+                    heads[i].append(e)
+            if to in then:
+                then[to] += who
+            else:
+                then[to] = who
+        now = then
+    last = [R.START] * len(begin)
+    for s, who in now.items():
+        for i in who:
+            last[i] = s
+    return last, heads, tail
 
 
 def scanned(effects: np.ndarray) -> np.ndarray:
@@ -229,64 +286,78 @@ def scanned(effects: np.ndarray) -> np.ndarray:
     return np.concatenate([[first], total[:-1, first]]) if n else np.zeros(0, int)
 
 
+CHUNKED = f"_id long, _n int, _base int, _slice string, _spans array<struct<{SPAN.replace(' ', ': ').replace(',:', ',')}>>, _pieces array<struct<lo: int, hi: int, kind: string, how: int, always: array<int>, bare: array<int>>>"
+RUN = "_id long, _n int, _from array<int>, _to array<int>, _heads array<array<int>>, _tail array<int>, _pieces array<struct<lo: int, hi: int, kind: string, how: int, always: array<int>, bare: array<int>>>"
+
+
 def _chunked(parts: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Of each document a row with the outlines of its pieces, and one for each chunk with the text that it and its rules look at."""
+    span, piece = [c.split()[0] for c in SPAN.split(", ")], ["lo", "hi", "kind", "how", "always", "bare"]
     for p in parts:
         for i, t in zip(p["_id"], p["_text"], strict=True):
-            rows = []
-            for n, (lo, hi, spans) in enumerate(chunks(t, size)):
-                base = max(0, lo - REACH)
-                rows.append((i, n, base, t[base : hi + REACH], [{"lo": a, "hi": b, "kind": k, "begin": o, "skip": "".join(x)} for a, b, k, o, x in spans]))
-            yield pd.DataFrame(rows, columns=["_id", "_n", "_base", "_slice", "_spans"])
+            found = list(pieces(t))
+            rows = [(i, -1, 0, "", [], [dict(zip(piece, outline(t, *x), strict=True)) for x in found])]
+            for n, spans in enumerate(chunks(t, size, found)):
+                base = max(0, spans[0][0] - REACH)
+                rows.append((i, n, base, t[base : spans[-1][1] + REACH], [dict(zip(span, x, strict=True)) for x in spans], []))
+                if len(rows) >= 64:
+                    yield pd.DataFrame(rows, columns=["_id", "_n", "_base", "_slice", "_spans", "_pieces"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["_id", "_n", "_base", "_slice", "_spans", "_pieces"])
 
 
-def _symbols(base: int, text: str, span: dict) -> list:
-    if span["kind"] == "item":
-        return []
-    return R.symbols(text, span["lo"] - base, span["hi"] - base, frozenset(span["skip"]), max(0, span["begin"] - base))
+def ran(base: int, text: str, spans: list[dict]) -> tuple[list[int], list[int], list[list[int]], list[int]]:
+    """Of a chunk: the states it may begin in, what they lead to, and where sentences end (see fan)."""
 
+    def marks(s: dict) -> list:
+        return R.symbols(text, s["lo"] - base, s["hi"] - base, frozenset(s["skip"]), max(0, s["begin"] - base), s["address"])
 
-def _effects(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for p in parts:
-        out = []
-        for base, text, spans in zip(p["_base"], p["_slice"], p["_spans"], strict=True):
-            f = np.arange(len(STATES), dtype=np.int16)
-            for s in spans:
-                f = np.full(len(STATES), NUMBER[R.START], np.int16) if s["lo"] == s["begin"] else f  # a piece begins afresh
-                f = effect(_symbols(base, text, s))[f]
-            out.append(f.tolist())
-        yield pd.DataFrame({"_id": p["_id"], "_n": p["_n"], "_effect": out})
-
+    def placed(s: dict, ends: list[int]) -> list[int]:
+        hi = min(s["end"] - base, len(text))
+        return [base + shut(text, e, hi) for e in ends if base + e < s["end"]]
 
-def _states(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("_n", ignore_index=True)
-    return pd.DataFrame({"_id": rows["_id"], "_n": rows["_n"], "_state": scanned(np.stack([np.asarray(x) for x in rows["_effect"]]))})
+    first = spans[0]
+    begin = starts(first["open"]) if first["lo"] > first["begin"] else [R.START]
+    last, heads, tail = fan(marks(first), begin)
+    heads, tail = [placed(first, h) for h in heads], placed(first, tail)
+    for s in spans[1:]:  # each begins a piece, and so afresh
+        state, ends = R.run(marks(s), R.START)
+        last, tail = [state] * len(begin), tail + placed(s, ends)
+    return [NUMBER[s] for s in begin], [NUMBER[s] for s in last], heads, tail
 
 
 def _run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
-        out = []
-        for base, text, spans, at in zip(p["_base"], p["_slice"], p["_spans"], p["_state"], strict=True):
-            state, ends = STATES[at], []
-            for s in spans:
-                state, found = R.run(_symbols(base, text, s), R.START if s["lo"] == s["begin"] else state)
-                ends += [base + e for e in found]
-            out.append(ends)
-        yield pd.DataFrame({"_id": p["_id"], "_n": p["_n"], "_ends": out})
+        out = [ran(b, t, s) if len(s) else ([], [], [], []) for b, t, s in zip(p["_base"], p["_slice"], p["_spans"], strict=True)]
+        yield pd.DataFrame({"_id": p["_id"], "_n": p["_n"], **{c: [x[k] for x in out] for k, c in enumerate(("_from", "_to", "_heads", "_tail"))}, "_pieces": p["_pieces"]})
 
 
-def _whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for p in parts:
-        yield pd.DataFrame({"_id": p["_id"], "_ends": [sentence_ends(t) for t in p["_text"]]})
+def _joined(rows: pd.DataFrame) -> pd.DataFrame:
+    """The ends of a document, from its chunks' functions: the scan tells each chunk's first state, and that which of its ends hold."""
+    rows = rows.sort_values("_n", ignore_index=True)
+    doc, found, rows = rows["_id"].iloc[0], rows["_pieces"].iloc[0], rows.iloc[1:]
+    ends: list[int] = []
+    if len(rows):
+        effects = np.full((len(rows), len(STATES)), NUMBER[R.START], np.int16)
+        for k, (a, b) in enumerate(zip(rows["_from"], rows["_to"], strict=True)):
+            if len(a) == 1:
+                effects[k] = b[0]  # a piece begins: no state before it matters
+            else:
+                effects[k, a] = b
+        for s, a, heads, tail in zip(scanned(effects), rows["_from"], rows["_heads"], rows["_tail"], strict=True):
+            k = 0 if len(a) == 1 else int(np.flatnonzero(np.asarray(a) == s)[0])
+            ends += [*heads[k], *tail]
+    at = np.asarray(ends, np.int64)
+    whole = []
+    for x in found:
+        mine = at[np.searchsorted(at, x["lo"], "right") : np.searchsorted(at, x["hi"], "right")].tolist() if x["kind"] == "text" else []
+        whole.append(((x["lo"], x["hi"], x["kind"], x["how"], list(x["always"]), list(x["bare"])), mine))
+    return pd.DataFrame({"_id": [doc], "_ends": [finished(whole)]})
 
 
-def _finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
-        out = []
-        for t, ends in zip(p["_text"], p["_all"], strict=True):
-            ends = np.sort(np.asarray(ends if ends is not None else [], int))
-            found = [(x, ends[np.searchsorted(ends, x[0], "right") : np.searchsorted(ends, x[1], "right")].tolist() if x[2] == "text" else []) for x in pieces(t)]
-            out.append(finished(t, found))
-        yield pd.DataFrame({"_id": p["_id"], "_ends": out})
+        yield pd.DataFrame({"_id": p["_id"], "_ends": [sentence_ends(t) for t in p["_text"]]})
 
 
 def sentences(documents: DataFrame, id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -295,16 +366,15 @@ def sentences(documents: DataFrame, id: str = "doc_id", text: str = "text", chun
     Rules on the characters around each mark (abbreviations, numbers, domains, how the text goes on) turn text into symbols; a finite transducer over
     these, whose states hold the open quotation, the open bracket and the place in the sentence, tells where sentences end. Headings, list items and
     blank lines bound it. Texts without marks are cut at line ends, Chinese and Thai ones at spaces between statements.
-    A document longer than `chunk` is cut into chunks that are worked on apart: of each, the function from the state before to the state after; these
-    are composed by a prefix scan per document, on the functions alone; then each chunk runs once more from its state. The result is the same.
+    A document longer than `chunk` is cut, between any two characters that aren't marks, into chunks that are worked on apart: of each, for every state it may begin
+    in, the state after it and the ends in it; these functions are composed by a prefix scan per document, which tells the ends that hold. So a long
+    text is read twice, once to be cut, once to be run, and its chunks are spread over tasks. The result is the same as in one run.
     Null, empty and blank texts give no rows; equal texts in several documents are split in each; rows without an id give none.
     """
     rows = documents.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text")).where(r"_id is not null and _text rlike '\\S'")
     rows = spread(rows, "_id")
     short = rows.where(F.length("_text") <= chunk).mapInPandas(_whole, "_id long, _ends array<int>")
     long = rows.where(F.length("_text") > chunk)
-    cut = written(long.mapInPandas(partial(_chunked, size=chunk), "_id long, _n int, _base int, _slice string, _spans array<struct<lo: int, hi: int, kind: string, begin: int, skip: string>>"), "chunks")
-    states = cut.mapInPandas(_effects, "_id long, _n int, _effect array<int>").groupBy("_id").applyInPandas(_states, "_id long, _n int, _state int")
-    ends = cut.join(states, ["_id", "_n"]).mapInPandas(_run, "_id long, _n int, _ends array<int>").groupBy("_id").agg(F.flatten(F.collect_list("_ends")).alias("_all"))
-    whole = long.join(ends, "_id", "left").mapInPandas(_finish, "_id long, _ends array<int>")
+    cut = written(long.mapInPandas(partial(_chunked, size=chunk), CHUNKED), "chunks")
+    whole = spread(cut, "_id", "_n").mapInPandas(_run, RUN).groupBy("_id").applyInPandas(_joined, "_id long, _ends array<int>")
     return short.unionByName(whole).select(F.col("_id").alias(id), F.explode(F.col("_ends").cast("array<long>")).alias("end_char"))

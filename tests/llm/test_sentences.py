@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sightline.llm import sentence_rules as R
-from sightline.llm.sentences import NUMBER, STATES, effect, scanned, sentence_ends, sentences
+from sightline.llm.sentences import NUMBER, STATES, chunks, fan, pieces, scanned, sentence_ends, sentences, starts
 
 
 def split(text):
@@ -67,7 +67,13 @@ def test_functions_compose_as_the_run():
     text = 'He said: "One. Two." Then (three. Four.) five. „Sechs.“ Sieben. ' * 20
     marks = R.symbols(text, 0, len(text), frozenset())
     parts = [marks[i : i + 7] for i in range(0, len(marks), 7)]
-    before = scanned(np.stack([effect(p) for p in parts]))
+    every = starts('"“„«‹「『»([{（【')
+    assert set(every) == set(STATES)
+    effects = []
+    for p in parts:
+        to = dict(zip(every, fan(p, every)[0], strict=True))
+        effects.append(np.array([NUMBER[to[s]] for s in STATES]))
+    before = scanned(np.stack(effects))
     state = R.START
     for p, b in zip(parts, before, strict=True):
         assert STATES[b] == state
@@ -84,3 +90,41 @@ def test_chunks_give_the_same_ends(spark):
         got = [(r["doc_id"], r["end_char"]) for r in sentences(df, chunk=size).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert sentences(df.limit(0)).count() == 0
+
+
+SCRIPTS = [
+    'The owner said: "It works. I checked (twice. Really.) it." We could not repeat that. Update 2.3.4 fixes e.g. this, etc. See https://ex.com/a.Next page. ', "屏幕真亮！“还能充电吗？”一位用户问道。工程师说：“铰链更紧了。”", "「夜も充電できますか。」と利用者が尋ねました。少し熱くなりました…しかし、すぐに戻りました。",
+    "ขนาดดาวน์โหลดคือ 4.0 GB หน้าจอสว่างมากจริงๆ พบรหัส VV88407 ครั้งแรก ", "قال د. Moll إن الشاشة تستهلك 3.9 واط. «هل يشحن ليلاً؟» سأل أحد المستخدمين. ", "डॉ. Moll के अनुसार स्क्रीन 2.2 वाट लेती है। ", "„Das Scharnier sitzt fester.“ So beschreiben es die Tester. Am 3. Oktober startet der Verkauf. ",
+    "В 2031 г. модель появится в регионе ES. А. К. Петров написал отчёт. ", "no marks here\nnor here\n", "\n\n- item one. two\n- item two\n\n", "(A note. In brackets.) ", "word.Word" * 12 + " ", "   ", "...", ")))", '"',
+]
+
+
+def chunked(text, size):
+    import pandas as pd
+
+    from sightline.llm.sentences import _chunked, _joined, _run
+
+    rows = pd.concat(list(_chunked(iter([pd.DataFrame({"_id": [1], "_text": [text]})]), size)), ignore_index=True)
+    return _joined(pd.concat(list(_run(iter([rows]))), ignore_index=True))["_ends"][0], len(rows) - 1
+
+
+@given(st.lists(st.sampled_from(SCRIPTS), min_size=1, max_size=40), st.integers(1, 400))
+@settings(max_examples=150, deadline=None)
+def test_any_chunk_size_gives_the_same_ends(parts, size):
+    text = "".join(parts)
+    assert chunked(text, size)[0] == sentence_ends(text)
+
+
+@pytest.mark.parametrize("part", ["電池は約2.5時間もちました。「夜も充電できますか。」と尋ねました。", "หน้าจอสว่างมากจริงๆพบรหัสครั้งแรก", "ア", "The phone is fine. "])
+def test_long_texts_of_any_script_are_cut(part):
+    text = (part * 92_000)[:92_000]
+    ends, n = chunked(text, 8192)
+    assert 11 <= n <= 14 and ends == sentence_ends(text)
+    found = list(pieces(text))
+    assert all(sum(s[1] - s[0] for s in spans) <= 9000 for spans in chunks(text, 8192, found))
+
+
+def test_words_of_any_length_before_a_period():
+    for n in (1, 10, 200, 20_000):
+        assert split("See https://ex.com/" + "section/" * n + "section.Next page has it.") == ["See https://ex.com/" + "section/" * n + "section.Next page has it."]
+        assert split("See " + "section/" * n + "section.Next page has it.") == ["See " + "section/" * n + "section.", "Next page has it."]
