@@ -20,6 +20,7 @@ BEFORE_NUMBER = frozenset(
 )
 #: Units: the end is possible after a number (16 min.), not before one (min. 60).
 UNITS = frozenset("min mins sec secs std hr hrs h kg g mg lb oz km m cm mm ft in pol tr ч мин сек руб тыс млн г т гг вв в".split())
+SHORT = GOES_ON | BEFORE_NUMBER | UNITS | {"co", "cie", "bros"}
 #: Before these, the period of Co. and the like goes on.
 FIRMS = re.compile(r"\s+(?:KG|Inc|Ltd|OHG|LLC|GmbH|Corp|Cie)\b")
 #: German words after which a number with a period is an ordinal.
@@ -35,8 +36,9 @@ DOTTED = re.compile(r"^(?:[^\W\d_]\.)+[^\W\d_]$")
 BOUNDS = frozenset(" \t\r\n\u00a0\u3000?!…。！？।؟([{“„«\"「『（‹")
 #: The longest word that is looked at letter by letter; no abbreviation is as long. Of longer ones all that matters is whether they are addresses.
 WORD = 64
+BOUND = re.compile("[" + re.escape("".join(sorted(BOUNDS))) + "]")
 #: What bounds a word, and what shows that it is an address.
-ADDRESS = re.compile("[" + re.escape("".join(sorted(BOUNDS))) + "]|://|@")
+ADDRESS = re.compile(BOUND.pattern + "|://|@")
 #: A word that leans on the next: l'art., d'env.
 ELIDED = re.compile(r"^(?:[a-zà-ÿ]{1,2}|qu)['’](?=[^\W\d_]{2})", re.I)
 #: What follows a period within a domain; a label of one has 63 characters at most.
@@ -52,6 +54,15 @@ CASELESS = {"Lo"}
 NEVER, LOWER, CASELESS_NEXT, UPPER = range(4)
 
 
+@lru_cache(maxsize=1 << 12)
+def begins(c: str) -> int:
+    """The class of a text by its first visible character."""
+    kind = unicodedata.category(c)
+    if c.isdigit() or kind in ("Lu", "Lt", "So", "Sc", "No"):
+        return UPPER
+    return CASELESS_NEXT if kind in ("Lo", "Lm", "Mn", "Mc") else LOWER
+
+
 def next_class(text: str, at: int) -> tuple[int, bool, str]:
     """How text goes on from `at`: the class of its next visible character, whether space comes first, and that character."""
     i, n = at, len(text)
@@ -66,18 +77,7 @@ def next_class(text: str, at: int) -> tuple[int, bool, str]:
     space = i > at
     if c in OPENERS or c == '"':  # an opened quotation goes on as its first letter does
         return (LOWER if i + 1 < n and unicodedata.category(text[i + 1]) == "Ll" else UPPER), space, c
-    if c.isdigit():
-        return UPPER, space, c
-    kind = unicodedata.category(c)
-    if kind in ("Lu", "Lt"):
-        return UPPER, space, c
-    if kind == "Ll":
-        return LOWER, space, c
-    if kind in ("Lo", "Lm", "Mn", "Mc"):
-        return CASELESS_NEXT, space, c
-    if kind in ("So", "Sc", "No"):
-        return UPPER, space, c
-    return LOWER, space, c
+    return begins(c), space, c
 
 
 class Word:
@@ -99,9 +99,12 @@ def period(text: str, at: int, lo: int, kind: int, space: bool, c: str, look: Wo
     """Whether the single period at `at` may end a sentence, by the word before it and the way the text goes on (see next_class).
 
     lo: where the text begins. look: knows of a word longer than WORD whether it is an address."""
-    after, i, least = at + 1, at, max(lo, at - WORD)
-    while i > least and text[i - 1] not in BOUNDS:
-        i -= 1
+    after, least = at + 1, max(lo, at - WORD)
+    i = max(text.rfind(" ", least, at) + 1, least)
+    if BOUND.search(text, i, at):
+        i = at
+        while text[i - 1] not in BOUNDS:
+            i -= 1
     if i == least and i > lo and text[i - 1] not in BOUNDS:  # a longer word
         if space or not c:
             return True
@@ -112,6 +115,8 @@ def period(text: str, at: int, lo: int, kind: int, space: bool, c: str, look: Wo
     if "'" in word or "’" in word:
         word = ELIDED.sub("", word)
     low = word.lower()
+    if space and kind == UPPER and len(low) > 2 and low not in SHORT and low.isalpha() and low == word:  # a plain word
+        return True
     alone = len(low) == 1 and low.isalpha()
     gap = text[max(lo, at - len(word) - 12) : at - len(word)].rstrip()
     numbered = bool(gap) and gap[-1].isdigit()
