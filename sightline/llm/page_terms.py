@@ -1,178 +1,113 @@
-"""Wording of the parts of web pages that aren't their subject, and of pages that have none.
+"""Words by which template residue and the messages of failed pages are told (problem 5).
 
-Fixed values: phrases as sites write them, in lower case, digits as #, without the mark at the end.
+Fixed values: single words and stems, no sentences, in lower case; a hyphen at the end stands for any further letters.
 """
 
 from __future__ import annotations
 
-NAVIGATION = """
-home|start|menu|search|compare|store finder|find a store|support|help|help center|trade in|repairs|repair|wearables|watches|community|sign in|sign up|log in|login|log out|register|
-my account|account|tablets|phones|smartphones|laptops|accessories|cart|cart (#)|basket|checkout|wishlist|offers|deals|business|for business|products|shop|store|news|blog|contact|contact us|about|
-about us|skip to main content|skip to content|close|back|next|previous|more|language|
-startseite|vergleichen|hilfe|anmelden|abmelden|registrieren|zubehör|warenkorb|angebote|geschäftskunden|produkte|suche|mein konto|kontakt|über uns|
-accueil|comparer|assistance|connexion|déconnexion|téléphones|tablettes|accessoires|panier|offres|produits|recherche|mon compte|aide|contactez-nous|
-inicio|comparar|ayuda|iniciar sesión|cerrar sesión|móviles|tabletas|accesorios|carrito|ofertas|productos|buscar|mi cuenta|contacto|
-ホーム|比較|サポート|ログイン|ログアウト|スマートフォン|タブレット|アクセサリー|カート|キャンペーン|製品|検索|お問い合わせ|
-início|ajuda|entrar|celulares|acessórios|carrinho|produtos|главная|поддержка|войти|корзина|首页|登录|购物车|支持|搜索|홈|로그인|장바구니
-"""
+import re
+from http import HTTPStatus
 
-FOOTER = """
-back to top|privacy policy|privacy|terms of use|terms of service|terms and conditions|imprint|legal notice|careers|jobs|press|sitemap|follow us|change country or language|all rights reserved|
-prices include tax where applicable. pictures are for illustration only|cookie settings|do not sell my personal information|
-nach oben|datenschutz|impressum|nutzungsbedingungen|agb|alle rechte vorbehalten|alle preise inkl. mwst. abbildungen ähnlich|karriere|
-haut de page|confidentialité|mentions légales|plan du site|tous droits réservés|conditions d'utilisation|
-subir|privacidad|aviso legal|mapa del sitio|todos los derechos reservados|términos de uso|
-ページの先頭へ|プライバシー|プライバシーポリシー|利用規約|サイトマップ|無断転載を禁じます|
-todos os direitos reservados|все права защищены|版权所有|隐私政策|개인정보처리방침
+# What a message is about, by concept.
+TOPICS = {
+    "page": """page pages site website webpage store shop url link address content product products article item resource file document listing
+        seite webseite inhalt produkt artikel datei adresse contenu produit fichier article sitio página contenido producto archivo sito pagina contenuto prodotto
+        conteúdo produto страниц- сайт- товар- strona strony produktu 페이지- 사이트- 상품- 제품-""",
+    "server": """server servers service services dienste dienstes servidores servizi serviços usługi gateway request requests connection system systems upstream backend application app database anfrage dienst anwendung verbindung
+        serveur requête connexion servidor servicio solicitud conexión aplicación servizio richiesta connessione applicazione serviço solicitação сервер- сервис- запрос- serwer usługa 서버- 서비스- 요청-""",
+    "access": "access permission permissions authorization zugriff zugang berechtigung accès autorisation acceso permiso accesso permesso acesso доступ- toegang dostęp 접근- 액세스- 권한-",
+    "script": "javascript java-script script scripts js browser navegador navigateur скрипты 자바스크립트- 스크립트-",
+    "human": "robot robots bot bots human captcha traffic person roboter mensch humain humano umano robô робот roboten robotem 로봇-",
+    "session": "session sessions login sitzung anmeldung sesión sessione sessão сессия sessie sesja 세션-",
+    "fault": "error errors fehler fehlers erreurs errores errori erros erreur errore erro problem problème problema ошибк- fout błąd exception failure 오류- 에러-",
+}
+# What it says of that.
+STATES = {
+    "missing": "unavailable introuvable nonexistent gone offline missing broken deleted removed lost closed withdrawn vanished expired discontinued dead inexistent- indisponib- indisponív- inaccessib- inacces- unreachable inaccesible gelöscht entfernt supprim- eliminad- removid- rimoss- удал- недоступ- verwijderd usunięt-",
+    "found": """found find exist exists existing respond responding working work works loading accessible gibt funktioniert antwortet répond fonctionne funciona responde funziona risponde werkt działa работает отвечает verfügbare available reach reached reachable load loaded supported support seem online authorized authorised allowed permitted display displayed gefunden geladen geöffnet angezeigt existiert verfügbar erreichbar trouvée trouvé trouver existe disponible
+        encontramos encontrado encontrada encontró encuentra trovata trovato trovare esiste disponibile encontrei disponível найден- существует доступна gevonden bestaat beschikbaar znaleziono istnieje 찾을 존재하- 사용할""",
+    "denied": """denied forbidden blocked refused restricted unauthorized unauthorised prohibited banned suspended disallowed invalid insufficient abgelehnt verboten refusée interdite bloquée denegada restringid- vietata negata proibid- negad- bloquead- verboden verweigert gesperrt blockiert untersagt refusé interdit bloqué denegado bloqueado bloqueada prohibido negado negato bloccato vietato
+        запрещ- заблокирован- отказано geweigerd geblokkeerd odmowa zabroniony 거부- 차단-""",
+    "expired": "expired timeout abgelaufen expirée expiré caducado caducada expirado expirada scaduta scaduto истек- verlopen wygasła 만료- timed",
+    "broken": """wrong failed crashed occurred completed unexpected happened reset interrupted aborted lost broke corrupt corrupted fatal critical internal unusual unable refused schiefgelaufen schief aufgetreten interner unerwarteter unerwartet- produit inattendu- survenu- inesperad- intern- imprevist- неизвестн- onverwacht- nieoczekiwan- survenue produite interne ocurrido producido interno
+        verificato imprevisto ocorreu произошла внутренняя opgetreden wystąpił bad 발생-""",
+    "fell": "down",
+    "down": "maintenance wartung- mantenimiento manutenção manutenzione onderhoud техническ- обслуживани- konserwacja 점검-",
+    "demand": """enable enabled activate allow require requires required need needs must disabled turn turned switch switched active off aktivieren aktiviert erlauben zulassen benötigt allowed erfordert einschalten deaktiviert ausgeschaltet
+        activez activer nécessite besoin désactivé active activar habilite habilitar necesita requiere desactivado attiva attivare abilita abilitare disattivato ative habilitado включите отключен- schakel inschakelen uitgeschakeld włącz wymaga 활성화- 켜- 필요-""",
+    "check": "confirm verify verifying prove checking check complete completing solve solving bestätigen prüfen überprüfen confirmez vérifiez confirme verifique conferma verifica проверка подтвердите bevestig potwierdź 확인-",
+    "many": "many overloaded busy viele trop demasiadas troppe muitas много",
+}
+#: Words that turn a state round.
+NOT = "not no cannot can't couldn't doesn't don't isn't never without unable nothing nicht kein keine nie ne n' pas aucune aucun non sin não не нет нельзя niet geen nie brak 없- 않-"
+# Words that any message has, about nothing in particular.
+COMMON = """
+    a an the this that these it its we i you your our us my is are was be been being has have had do does did can could may might looks look like below above action actions following undergoing scheduled planned progress another different content want wanted help team us them all into try new will would should at of on in to for from by with as or and but so if because than persists persist continues again anymore out
+    please sorry oops hmm uh ohh oh ooops whoops apologies pardon interruption thank thanks again later soon back come return try retry wait reload refresh go start home few minutes minute moment moments seconds while right now just
+    temporarily currently shortly briefly longer any more side end here there before after continue view see open run use using access visit looking requested request made encountered processing answer waiting valid invalid
+    slow seems something everything went contact support administrator operator attention cookies ip account network networks followed clicked typed entered mistyped outdated old moved required webmaster owner team reference code id ray trace incident details number status message sign log seem taking too time first
+    security special unusual detected load due under up well about review choices settings details one instead other properly correctly still yet
+    die der das den dem ein eine einen diese dieser dieses wir ihr ihre ihnen sie es ist sind war wurde wird werden hat haben leider bitte später erneut versuchen zurück noch mal gerade durch dass ob um zu im in auf für gibt ups hoppla mal uns dass man vielleicht mit und oder von gesuchte angeforderte mehr zurzeit derzeit nun jetzt warten
+    ist bei kurz momentan vorübergehend dafür etwas anzuzeigen anzeigen nutzen laden führen gerade kommen
+    le la les l un une des du oups temporairement actuellement momentanément produite nouveau page de ce cet cette c d votre vous nous est sont était été a ont veuillez désolé réessayer réessayez plus tard revenir merci en cours pour par sur que qui n s à êtes avez au pas il y demandée recherchée afficher
+    el la los las lo un una unos de del al su sus usted se es está están estamos ha han sido por favor sentimos fue era vuelva vuelve ups actualmente momento temporalmente intente intentarlo más tarde para con que en y o esta este solicitada ver
+    il i gli uno una dello ops momentaneamente attualmente al momento della di da questa questo è sono stato stata si prego spiacenti riprova riprovare più tardi per che non la le richiesta cercata
+    o os as um uma do da no ops no momento temporariamente na esta este é está foi por desculpe tente novamente mais tarde para que não solicitada
+    de het een deze dit oeps er is momenteel tijdelijk is zijn was wordt werd u uw wij helaas sorry probeer later opnieuw voor om te en of van op dat
+    и в на по к с для что это эта этот вы ваш мы к сожалению пожалуйста позже попробуйте снова ведутся работы
+    ta ten to jest są nie proszę przepraszamy spróbuj ponownie później dla z w na do
+    죄송합니다 요청하신 수 다시 시도해 주세요 나중에 해주세요 하세요 되었습니다 했습니다 합니다 있습니다
 """
-
-ASIDE = """
-related articles|related posts|related products|recently viewed|you may also like|popular downloads|most popular|top searches this week|contact an expert|subscribe to our newsletter and never miss a launch|
-subscribe to our newsletter|newsletter|trending|recommended for you|
-ähnliche artikel|beliebte downloads|das könnte sie auch interessieren|newsletter abonnieren und keine neuheit verpassen|newsletter abonnieren|
-articles liés|téléchargements populaires|vous aimerez aussi|abonnez-vous à notre lettre|
-artículos relacionados|descargas populares|también le puede gustar|suscríbase al boletín|
-関連記事|人気のダウンロード|おすすめ商品|メールマガジンに登録する|最近チェックした商品
+#: Signs that a text writes about such a thing.
+ABOUT = """
+    when where whether why how which earlier older releases release version versions build builds fix fixes fixed fixing corrects corrected changelog messages named called shows showed prints printed says said wrote writes reports reported
+    wenn falls weshalb warum version behoben korrigiert meldungen quand pourquoi corrige corrigé version cuando cuándo corrige corregido versión quando corretto versione когда исправлен версии
 """
+# Japanese and Chinese: the topics, states and other words, which are looked for within the text.
+HAN_PAIRS = (
+    ("ページ お探し サイト 商品 ファイル 页面 网页 網頁 頁面 页 内容 商品 链接", "見つかりません 存在しません 表示できません 削除 ありません 利用できません 找不到 未找到 不存在 无法显示 已删除 無法"),
+    ("サーバー サービス サイト システム 接続 服务器 服務器 系统 系統 服务 网站 连接 请求", "エラー メンテナンス 停止 混雑 タイムアウト 错误 錯誤 维护 維護 超时 不可用 繁忙 失败 中断"),
+    ("アクセス 権限 访问 存取 权限", "拒否 禁止 制限 ブロック ありません 拒绝 拒絕 没有 受限"),
+    ("スクリプト javascript ブラウザ 脚本 浏览器", "有効 無効 オン オフ 必要 対応 启用 禁用 開啟 开启 需要 关闭 不支持"),
+    ("ロボット 人間 captcha トラフィック 机器人 真人 验证码", "確認 証明 認証 通常 验证 确认 异常"),
+    ("セッション ログイン 会话 登录", "切れ 期限 終了 过期 超时 失效"),
+    ("エラー 問題 错误 問題", "発生 起き 发生 出现"),
+    ("ただいま 現在 正在", "メンテナンス 维护 維護"),
+)
+HAN_COMMON = "申し訳 誠に 恐れ入り 現在 時間 後 再度 お試し 下さい 表示 指定 要求 一時的 ご 内部 入力 当 您 的 了 请 請 抱歉 对不起 稍后 重试 再试 后 无法 本 该 此 我们 正在 进行 暂时 以 查看 继续 是 已 未 被 内部"
 
-PROMOTION = """
-advertisement|sponsored|ad|print|print this page|share|share this page|was this page helpful? yes / no|was this page helpful|rate this page|read next: ten tips for longer battery life|
-get # off your next order when you join today|
-anzeige|werbung|drucken|seite teilen|teilen|war diese seite hilfreich? ja / nein|war diese seite hilfreich|
-publicité|imprimer|partager|cette page vous a-t-elle aidé ? oui / non|cette page vous a-t-elle aidé|
-publicidad|imprimir|compartir|¿le ha servido esta página? sí / no|¿le ha servido esta página|
-広告|印刷|共有する|このページは役に立ちましたか
+#: What somebody's words should have replaced.
+FILLER_TOPICS = """
+    headline heading title subtitle text texts description content copy paragraph caption image name product label lorem body placeholder platzhalter platzhaltertext mustertext beispieltext segnaposto заглушка voorbeeldtekst
+    titel überschrift beschreibung inhalt text blindtext titre texte contenu légende título texto contenido descripción titolo testo contenuto descrizione título conteúdo descrição заголовок текст tekst tytuł titel
 """
-
-CONSENT = """
-accept all|accept all cookies|reject all|manage preferences|we use cookies to improve your experience on this site. accept all cookies|by continuing you agree to our use of cookies|
-this site stores cookies for statistics and advertising. you can change your choice at any time|we and our # partners process data to show personalised ads|
-alle akzeptieren|alle ablehnen|einstellungen verwalten|nur notwendige cookies zulassen|wir verwenden cookies, um unsere seite zu verbessern. alle akzeptieren|
-tout accepter|tout refuser|gérer mes choix|continuer sans accepter|nous utilisons des cookies pour améliorer votre visite. tout accepter|
-aceptar todas|rechazar|configurar|usamos cookies para mejorar su visita. aceptar todas|
-すべて同意する|拒否する|設定を変更|当サイトではクッキーを使用しています。すべて同意する
+FILLER_STATES = """
+    here placeholder sample dummy example demo insert replace lorem ipsum coming tbd tba todo fixme follow hier platzhalter platzhaltertext blindtext mustertext beispieltext ersetzen einfügen ici remplacement factice exemple remplacer
+    modifier insérer aquí ejemplo relleno prueba sustituir insertar qui esempio segnaposto inserire sostituire aqui exemplo substituir пример здесь заглушка wstaw przykładowy voorbeeldtekst
 """
+FILLER_COMMON = """
+    your the a an some any goes go comes soon add enter put with is are this that of to for and or be follow announced defined replaced provided supplied added written later pending determined done it please steht kommt folgt ein eine ihr ihre bitte noch der die das mit austauschen
+    un une le la de du des votre à d el su una por favor il vostro per o seu é это ваш
+"""
+HAN_FILLERS = (("テキスト 文章 タイトル 見出し 説明 文字 文本 标题 内容 標題", "ダミー サンプル ここに 仮 示例 占位 此处 这里 測試 测试"),)
 
-#: Names of elements' classes and ids, and tags, that hold no part of a page's subject, or hold it.
-AROUND_NAMES = r"(?:^|[-_ ])(?:nav|navbar|menu|topmenu|crumb|crumbs|breadcrumb|breadcrumbs|cookie|cookies|consent|gdpr|banner|sidebar|side|aside|promo|promotion|ad|ads|advert|sponsor|related|recommend\w*|foot|footer|bottom|share|social|comments?|newsletter|feedback|popup|modal)(?:$|[-_ ])"
-MAIN_NAMES = r"(?:^|[-_ ])(?:main|content|article|post|entry|story|body|text)(?:$|[-_ ])"
-AROUND_TAGS = frozenset("nav aside footer header form dialog menu".split())
-MAIN_TAGS = frozenset("main article".split())
+#: Standard filler, by whose words' beginnings pseudo-Latin is told.
+STANDARD_FILLER = """
+    lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo
+    consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
+"""
+#: Rows of a keyboard, over which fingers run.
+KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "azertyuiop")
 
-#: What a whole line says where a page failed, was withheld, or wants scripts; {} stands for the start and end of the line.
-FAILURES = (
-    r"(?:error|fehler|erreur|errore|erro)[ :#]*\d{3}\b.*",
-    r"\d{3}\s*[-–:.]?\s*(?:not found|forbidden|unauthorized|bad request|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|internal server error|too many requests|gone|error)",
-    r"(?:page |file )?not found",
-    r"(?:sorry, )?the page you (?:are looking for|requested|were looking for) (?:cannot|can't|could not|couldn't) be found",
-    r"(?:sorry|oops)\W+(?:that|this|the) page (?:does not|doesn't|no longer) exists?(?: any ?more)?",
-    r"(?:that|this|the) page (?:does not|doesn't|no longer) exists?(?: any ?more)?",
-    r"oops! that page does not exist any more",
-    r"this (?:product|page|item|article) is no longer available(?: at this address)?",
-    r"(?:hmm, )?we can't reach this page(?: right now)?",
-    r"(?:oops\W+)?something went wrong(?: on our (?:side|end))?",
-    r"(?:an )?(?:internal|unexpected|unknown) (?:server )?error(?: has)?(?: occurred)?",
-    r"gateway timed? ?out(?: while waiting for the upstream server)?",
-    r"(?:503 )?service (?:temporarily )?unavailable",
-    r"the request could not be completed(?:\. reference.*)?",
-    r"the server (?:encountered|is temporarily|returned|is too busy).*",
-    r"access (?:is |was )?denied(?:\. you do(?: not|n't) have permission.*)?",
-    r"you do(?: not|n't) have permission to (?:open|view|access|see) this (?:page|site|resource)",
-    r"(?:your )?session (?:has )?expired(?:, please (?:sign|log) in again)?",
-    r"too many requests(?:\. slow down and try again later)?",
-    r"we are (?:currently )?down for maintenance(?:\. please come back.*)?",
-    r"(?:the |this )?(?:site|page|service|store) is (?:currently |temporarily )?(?:down|under maintenance|unavailable|offline).*",
-    r"our systems have detected unusual traffic.*",
-    r"(?:please )?(?:confirm|verify|prove) that you are (?:not a robot|human)",
-    r"checking your browser before you continue.*",
-    r"before you continue, review your choices",
-    r"(?:please )?(?:complete|solve) the captcha.*",
-    r"(?:please )?(?:enable|activate|turn on|allow|switch on) (?:java)?scripts? (?:to|in order to|and reload).*",
-    r"you need to (?:enable|activate|turn on|allow) (?:java)?scripts? .*",
-    r"(?:java)?scripts? (?:is|are|must be) (?:switched off|disabled|turned off|required|not enabled|active)\b.*",
-    r"(?:this|the) (?:site|store|page|app|application|website) (?:does not|doesn't|won't|will not) work without (?:java)?scripts?.*",
-    r"(?:this|the) (?:site|store|page|app|application|website) (?:needs|requires) (?:java)?scripts?.*",
-    r"your browser is not supported(?:\. scripts must be active)?",
-    r"(?:nginx|apache|iis|varnish|cloudflare)\b.*(?:gateway|error|timeout|denied|unavailable).*",
-    r"upstream connect error.*",
-    r"traceback \(most recent call last\).*",
-    r"(?:fatal error|parse error|warning|notice|uncaught \w*error): .*(?: on line \d+|undefined|exception).*",
-    r"(?:[a-z_]\w*\.)+[a-z_]*(?:exception|error)\b.*",
-    r'\{\s*"(?:error|status|code|message)"\s*:.*\}',
-    # German
-    r"(?:leider )?(?:wurde )?die gesuchte seite wurde (?:leider )?nicht gefunden",
-    r"seite nicht gefunden",
-    r"zugriff verweigert",
-    r"es ist ein (?:interner )?(?:problem|fehler) aufgetreten",
-    r"wir führen gerade wartungsarbeiten durch.*",
-    r"(?:bitte )?bestätigen sie, dass sie kein roboter sind",
-    r"(?:bitte )?aktivieren sie javascript.*",
-    r"diese (?:anwendung|seite|app) (?:benötigt|erfordert) javascript",
-    r"javascript ist (?:deaktiviert|ausgeschaltet|nicht aktiviert).*",
-    # French
-    r"(?:désolé, )?cette page est introuvable",
-    r"page introuvable",
-    r"accès refusé",
-    r"une erreur (?:interne )?(?:est survenue|s'est produite)",
-    r"(?:le )?site (?:est )?en maintenance.*",
-    r"(?:veuillez )?confirme[rz] que vous n'êtes pas un robot",
-    r"(?:veuillez )?active[rz] javascript.*",
-    r"cette (?:application|page) (?:a besoin de|nécessite) javascript",
-    # Spanish
-    r"(?:lo sentimos, )?no (?:encontramos|hemos encontrado|se encuentra|se encontró) la página",
-    r"página no encontrada",
-    r"acceso denegado",
-    r"se ha producido un error(?: interno)?",
-    r"(?:el sitio está|estamos) en mantenimiento.*",
-    r"confirme que no es un robot",
-    r"(?:active|habilite) javascript.*",
-    r"esta (?:aplicación|página) (?:necesita|requiere) javascript",
-    # Japanese, Chinese, Korean, Russian, Portuguese
-    r"お探しのページは見つかりませんでした",
-    r"ページが見つかりません(?:でした)?",
-    r"アクセスが拒否されました",
-    r"(?:サーバーで)?エラーが発生しました",
-    r"ただいまメンテナンス中です",
-    r"(?:.*を表示するには)?javascriptを有効にしてください",
-    r"(?:java)?スクリプトが無効(?:になっています|です)",
-    r"(?:あなたが)?ロボットではないことを(?:確認|証明)してください",
-    r"(?:抱歉，)?(?:您访问的)?页面(?:不存在|未找到)",
-    r"(?:拒绝访问|访问被拒绝|系统维护中|服务器错误)",
-    r"(?:请|請)启用javascript.*",
-    r"페이지를 찾을 수 없습니다",
-    r"(?:страница не найдена|доступ запрещ[её]н|ведутся технические работы|включите javascript.*)",
-    r"(?:página não encontrada|acesso negado|ative o javascript.*|site em manutenção.*)",
-)
+#: The reason phrases of HTTP's error codes, from the standard.
+REASONS = {s.value: s.phrase.lower() for s in HTTPStatus if s.value >= 400}
 
-#: What a whole line says where somebody's words should have replaced it.
-FILLERS = (
-    r"(?:your |the )?(?:headline|heading|title|subtitle|text|description|content|copy|product name|name) (?:goes |comes )?here",
-    r"(?:insert|add|enter|put) (?:your )?(?:body |product )?(?:copy|text|title|headline|description|content|image|name)(?: here)?",
-    r"(?:sample|dummy|placeholder|example|demo) (?:text|content|copy|paragraph|title)(?: goes here)?",
-    r"this is (?:a |some )?(?:placeholder|sample|dummy|example) (?:paragraph|text|content|copy)(?:\..*)?",
-    r"(?:description|content|text|details|title) (?:coming soon|to follow|tbd|tba)",
-    r"(?:to be (?:announced|defined|done|determined)|tbd|tba|todo|fixme|n/?a)",
-    r"hier (?:steht|kommt|folgt) (?:ein |noch )?(?:blindtext|platzhalter|platzhaltertext|text)",
-    r"(?:blindtext|platzhalter|platzhaltertext|mustertext|beispieltext)(?:, bitte (?:ersetzen|austauschen))?",
-    r"(?:ihre?|hier ihre?) (?:titel|überschrift|text) hier",
-    r"texte? (?:de remplacement|factice|d'exemple)(?: à (?:modifier|remplacer))?",
-    r"(?:votre|le) (?:titre|texte) ici",
-    r"texto de (?:ejemplo|relleno|prueba)(?:, sustituir)?",
-    r"(?:su|el) (?:título|texto) aquí",
-    r"ここに(?:テキスト|文章|タイトル|見出し)(?:が入ります|を入力(?:してください)?)",
-    r"(?:これは)?(?:ダミー|サンプル)(?:テキスト|文章)です",
-    r"(?:这里是|此处为)?(?:示例|占位)(?:文字|文本)",
-    r"x{2,}(?:\W+x{2,})*",
-    r"(?:asdf\w*|qwer\w*|zxcv\w*|hjkl|jkl|fdsa)(?:\W+(?:asdf\w*|qwer\w*|zxcv\w*|hjkl|jkl|fdsa))*",
-)
 
-#: The beginnings of the words of pseudo-Latin filler.
-LATIN_STEMS = (
-    "lorem ipsum dolo sita sit amet amel conect consect adip elit sed eius temp tetra incid labor magn aliq enim minim veni quis nostr exerc ullam nisi duis aute irur repreh volup velit esse cill fugi null "
-    "pari except sint occae cupid proid sunt culp offic deser moll anim"
-).split()
-LATIN = r"(?:" + "|".join(LATIN_STEMS) + r")\w*"
+def words(text: str) -> frozenset[str]:
+    return frozenset(text.split())
 
 
-def phrases(*blocks: str) -> frozenset[str]:
-    return frozenset(p.strip() for b in blocks for p in b.replace("\n", "").split("|") if p.strip())
+def matcher(text: str) -> re.Pattern:
+    """A pattern for one of these words; a hyphen at the end stands for any further letters."""
+    stems = sorted({w for w in text.split()}, key=len, reverse=True)
+    return re.compile("(?:" + "|".join(re.escape(w.rstrip("-")) + (r"\w*" if w.endswith("-") else "") for w in stems) + r")\Z")

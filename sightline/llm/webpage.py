@@ -4,146 +4,245 @@ from __future__ import annotations
 
 import html
 import re
-from functools import lru_cache
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import lru_cache, wraps
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import numpy as np
 
-from sightline.llm import page_terms as T
-
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript head title template svg iframe object".split())
-BOXES = frozenset("div nav aside footer header form dialog menu main article section figure".split())
-DEEPEST = 60
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-
-VOCABULARY = T.phrases(T.NAVIGATION, T.FOOTER, T.ASIDE, T.PROMOTION, T.CONSENT)
-ASIDES = T.phrases(T.ASIDE, T.PROMOTION)
-AROUND = re.compile(T.AROUND_NAMES, re.I)
-MAIN = re.compile(T.MAIN_NAMES, re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 pre td th".split())
+#: Elements that stand around a page's subject, that hold it, that only divide it, and others that may hold lines.
+AROUND_TAGS = frozenset("nav aside footer header form dialog menu".split())
+MAIN_TAGS = frozenset("main article".split())
+PARTS = frozenset("section main article figure".split())
+BOXES = AROUND_TAGS | PARTS | {"div"}
+#: Names of elements' classes, ids and roles that say the same.
+AROUND = re.compile(
+    r"(?:^|[-_ ])(?:nav|navbar|menu|topmenu|crumb|crumbs|breadcrumb|breadcrumbs|cookie|cookies|consent|gdpr|banner|sidebar|side|aside|promo|promotion|ad|ads|advert|sponsor|related|recommend\w*|foot|footer|bottom|share|social|comments?|newsletter|feedback|popup|modal)(?:$|[-_ ])",
+    re.I,
+)
+MAIN = re.compile(r"(?:^|[-_ ])(?:main|content|article|post|entry|story|body|text)(?:$|[-_ ])", re.I)
 SEPARATORS = re.compile(r"\s+[|·•»›>/–—]\s+|\s{3,}|\t")
 COPYRIGHT = re.compile(r"^(?:©|\(c\)|copyright\b)", re.I)
-NONCE = re.compile(r"^\[[0-9a-f]{6,16}\]$")
 #: Markup shows by an element that HTML knows; <product.name> and the like are text.
 TAG = re.compile(r"<(?:!doctype\b|!--|/?(?:html|head|body|div|p|a|span|ul|ol|li|dl|dt|dd|h[1-6]|table|tr|td|th|br|img|nav|main|article|section|aside|footer|header|script|noscript|style|form|b|i|em|strong|pre|code|blockquote)(?:\s[^<>]*)?/?>)", re.I)
 #: A product's name by itself: two to six capitalised words or short numbers, at least one of them with a digit, no sentence mark.
 NAME = re.compile(r"^(?=.*\d)(?!(?:Error|Code|Fehler|Erreur|Version|Page|Step|Note) )[A-Z][A-Za-z]*\d{0,3}[A-Za-z]?\+?(?: (?:[A-Z][A-Za-z]*\d{0,3}[A-Za-z]?|\d{1,3}[A-Za-z]?)\+?){1,5}$")
 SENTENCE_END = re.compile(r"[.!?…。！？।](?:[\"'”’»)\]」』]*)$")
+RUN, DIGIT = re.compile(r"[a-z0-9]+"), re.compile(r"[0-9]")
+WIDE = re.compile("[\u1100-\u11ff\u2e80-\ua4cf\uac00-\ud7a3\uf900-\ufaff\uff00-\uff60]")
+NEWLINES = re.compile(r"&(?:#0*1[03]|#[xX]0*[aAdD]|NewLine);?")
 
 #: Standard deviation, in lines, of the Gaussian that smooths the ratios.
 SIGMA = 1.5
+#: How far apart the means of two clusters are at least, in logarithms.
+APART = 0.5
 _at = np.arange(-4, 5)
 KERNEL = np.exp(-(_at**2) / (2 * SIGMA**2))
 KERNEL /= KERNEL.sum()
+#: A line of so many words is a label and its value (a reference, a time), known whatever the value; a longer one as it stands.
+LABEL_WORDS = 8
+#: On how many of its host's pages a line around the body is taken to stand, and how much likelier a line outside the ratios' core is to be one, as nothing else is known of it.
+SPREAD, OUTSIDE = 0.5, 4.0
+#: Lines of the upper cluster that so many others or fewer lie between make one run.
+GAP = 3
+
+
+def remembered(f: Callable) -> Callable:
+    """f of a text, kept for short ones: the same menus and footers stand on every page of a host."""
+    kept = lru_cache(maxsize=1 << 15)(f)
+
+    @wraps(f)
+    def call(text: str):
+        return kept(text) if len(text) <= 200 else f(text)
 
+    return call
 
-def plain(text: str) -> str:
-    """A line as it is looked up: lower case, digits as #, single spaces, no mark at the end."""
-    return re.sub(r"\d+", "#", " ".join(text.lower().split())).rstrip(" .!:。？?！")
 
+@remembered
+def known_as(text: str) -> int:
+    """A line as it is counted and looked up: a hash of its words in lower case without the mark at the end, of a short line without its numbers and codes."""
+    words = text.lower().rstrip(" .!:。？?！").split()
+    whole = " ".join(RUN.sub(lambda m: "#" if DIGIT.search(m[0]) else m[0], w) for w in words) if len(words) <= LABEL_WORDS else " ".join(words)
+    return int.from_bytes(blake2b(whole.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
-class Box:
-    """An element that holds lines: its place in the page and what its tag and names say."""
 
-    __slots__ = ("up", "tag", "around", "main", "kids", "own", "all", "depth")
+@remembered
+def units(text: str) -> tuple[int, ...]:
+    """The hash of a line, and those of its items if separators divide it."""
+    items = [p.strip() for p in SEPARATORS.split(text) if p.strip()]
+    return (known_as(text), *(known_as(p) for p in items)) if len(items) > 1 else (known_as(text),)
 
-    def __init__(self, up: Box | None, tag: str, names: str):
-        self.up, self.tag, self.kids, self.own, self.all = up, tag, [], [], []
-        self.depth = up.depth + 1 if up is not None else 0
-        self.around = tag in T.AROUND_TAGS or bool(names and AROUND.search(names))
-        self.main = tag in T.MAIN_TAGS or bool(names and not self.around and MAIN.search(names))
-        if up is not None:
-            up.kids.append(self)
 
-    def add(self, line: int) -> None:
-        self.own.append(line)
-        box: Box | None = self
-        while box is not None:
-            box.all.append(line)
-            box = box.up
+def width(text: str) -> int:
+    """The places that a text takes: characters of East Asian scripts, which say more each, take two."""
+    return len(text) if text.isascii() else len(text) + len(WIDE.findall(text))
+
+
+@dataclass
+class Page:
+    """The lines of a page that show text, and the boxes (elements that hold lines) they lie in; a box's number is above its holder's."""
+
+    markup: bool
+    row: list[int] = field(default_factory=list)
+    size: list[int] = field(default_factory=list)
+    tags: list[int] = field(default_factory=list)
+    linked: list[int] = field(default_factory=list)
+    strong: list[bool] = field(default_factory=list)
+    box: list[int] = field(default_factory=list)
+    units: list[tuple[int, ...]] = field(default_factory=list)
+    #: Bits: 1 a product's name, 2 the page's own, 4 a copyright notice, 8 ends as a sentence, 16 the last item does, 32 an item is one, 64 counted as it stands, numbers included.
+    looks: list[int] = field(default_factory=list)
+    names: list[int] = field(default_factory=list)
+    kinds: list[str | None] = field(default_factory=list)
+    up: list[int] = field(default_factory=lambda: [-1])
+    around: list[bool] = field(default_factory=lambda: [False])
+    main: list[bool] = field(default_factory=lambda: [False])
+    part: list[bool] = field(default_factory=lambda: [False])
+    notes: list[tuple[str, int]] = field(default_factory=list)
 
 
 class Reader(HTMLParser):
-    """Takes a page line by line and keeps, for each, its visible text, its tags, the text in links, and the box that its text lies in."""
+    """Keeps, for each line of a page, its visible text, its tags, the text in links, and the box that its text lies in. Each event is handled once, whatever the depth."""
 
-    def __init__(self) -> None:
+    def __init__(self, lines: int):
         super().__init__(convert_charrefs=True)
-        self.root = self.box = Box(None, "body", "")
-        self.row, self.hidden, self.link, self.heading, self.deeper = 0, [], 0, 0, 0
-        self.text: list[str] = []
-        self.tags: list[int] = []
-        self.linked: list[int] = []
-        self.strong: list[bool] = []
-        self.where: list[Box] = []
+        self.text: list[str] = [""] * lines
+        self.tags, self.linked, self.where = [0] * lines, [0] * lines, [0] * lines
+        self.strong = [False] * lines
         self.notes: list[str] = []  # text for clients without scripts
-
-    def take(self, lines: list[str]) -> Reader:
-        n = len(lines)
-        self.text, self.tags, self.linked, self.strong, self.where = [""] * n, [0] * n, [0] * n, [False] * n, [self.root] * n
-        for self.row, line in enumerate(lines):  # noqa: B020
-            self.feed(line + "\n")
-        self.close()
-        return self
-
-    def updatepos(self, i: int, j: int) -> int:  # rows are counted here, line by line
-        return j
+        self.up, self.tag, self.around, self.main = [-1], ["body"], [False], [False]
+        self.open, self.opened = [0], {}  # the boxes that are open, and how many of each tag
+        self.hidden: list[str] = []
+        self.link = self.heading = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.tags[self.row] += 1
+        self.tags[self.lineno - 1] += 1
         if tag in VOID:
             return
         if tag in HIDDEN:
             self.hidden.append(tag)
         elif tag == "a":
             self.link += 1
-        elif tag in HEADINGS or tag in ("pre", "td", "th"):
+        elif tag in HEADINGS:
             self.heading += 1
-        elif tag in BOXES and self.box.depth >= DEEPEST:  # what lies deeper counts to the box that holds it
-            self.deeper += 1
         elif tag in BOXES:
-            self.box = Box(self.box, tag, " ".join(v for k, v in attrs if v and k in ("class", "id", "role")))
+            names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
+            around = tag in AROUND_TAGS or bool(names and AROUND.search(names))
+            self.up.append(self.open[-1])
+            self.tag.append(tag)
+            self.around.append(around)
+            self.main.append(tag in MAIN_TAGS or bool(names and not around and MAIN.search(names)))
+            self.open.append(len(self.up) - 1)
+            same = "main" if tag in MAIN_TAGS else tag  # <article> ... </main> is one element to its author
+            self.opened[same] = self.opened.get(same, 0) + 1
         elif tag == "body":
             self.hidden.clear()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.tags[self.row] += 1
+        self.tags[self.lineno - 1] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags[self.row] += 1
+        self.tags[self.lineno - 1] += 1
         if tag in HIDDEN:
             if tag in self.hidden:
                 del self.hidden[self.hidden.index(tag) :]
         elif tag == "a":
             self.link = max(0, self.link - 1)
-        elif tag in HEADINGS or tag in ("pre", "td", "th"):
+        elif tag in HEADINGS:
             self.heading = max(0, self.heading - 1)
-        elif tag in BOXES and self.deeper:
-            self.deeper -= 1
         elif tag in BOXES:
-            same = T.MAIN_TAGS if tag in T.MAIN_TAGS else (tag,)  # <article> ... </main> is one element to its author
-            at = self.box
-            while at.up is not None and at.tag not in same:
-                at = at.up
-            if at.up is not None:
-                self.box = at.up
-                self.link = self.heading = 0
+            want = "main" if tag in MAIN_TAGS else tag
+            while self.opened.get(want, 0):  # boxes within it that were left open end with it
+                got = self.tag[self.open.pop()]
+                got = "main" if got in MAIN_TAGS else got
+                self.opened[got] -= 1
+                if got == want:
+                    self.link = self.heading = 0
+                    break
 
     def handle_data(self, data: str) -> None:
-        seen = data.strip()
-        if not seen:
-            return
         if self.hidden:
-            if self.hidden[-1] == "noscript":
-                self.notes.append(seen)
+            if self.hidden[-1] == "noscript" and data.strip():
+                self.notes += [x.strip() for x in data.split("\n") if x.strip()]
             return
-        i = self.row
-        self.text[i] = f"{self.text[i]} {seen}" if self.text[i] else seen
-        if self.link:
-            self.linked[i] += len(seen)
-        if self.heading:
-            self.strong[i] = True
-        if self.where[i] is not self.box:
-            self.where[i] = self.box
+        for i, part in enumerate(data.split("\n"), self.lineno - 1):
+            seen = part.strip()
+            if not seen or i >= len(self.text):
+                continue
+            self.text[i] = f"{self.text[i]} {seen}" if self.text[i] else seen
+            if self.link:
+                self.linked[i] += width(seen)
+            if self.heading:
+                self.strong[i] = True
+            self.where[i] = self.open[-1]
+
+
+def slug(url: str | None, title: str | None = None) -> str:
+    """What a page's address calls it, as words joined by -; if there is no address, what its title does."""
+    path = re.sub(r"[?#].*$", "", url or "").rstrip("/")
+    last = path.rsplit("/", 1)[-1] if "/" in path else ""
+    return re.sub(r"[^a-z0-9]+", "-", (last or (title or "").split("|")[0]).lower()).strip("-")
+
+
+def of_page(name: str, own: str) -> bool:
+    """Whether a product's name is the page's own, by the page's address or title."""
+    key = re.sub(r"[^a-z0-9]+", "-", name.lower().replace("+", " plus")).strip("-")
+    return bool(key) and bool(re.search(rf"(?:^|-){re.escape(key)}(?:-[0-9a-f]{{4,}})?$", own))
+
+
+def visible(content: str) -> tuple[list[str], Reader | None]:
+    """The visible text of each line, and the reader if the page has markup."""
+    if not TAG.search(content):
+        return [html.unescape(x).strip() for x in content.split("\n")], None
+    r = Reader(content.count("\n") + 1)
+    r.feed(closed(NEWLINES.sub(" ", content)))
+    r.close()
+    return r.text, r
+
+
+def closed(content: str) -> str:
+    """A page without a comment that nothing ends, and with no tags begun behind its last one's end: the parser would look for their ends again and again."""
+    at = content.find("<!--", content.rfind("-->") + 1)
+    content = content[:at] if at >= 0 else content
+    end = content.rfind(">") + 1
+    return content[:end] + content[end:].replace("<", "&lt;")
+
+
+def read(content: str, own: str = "", judge: Callable[[str], str | None] | None = None) -> Page:
+    """A page's lines that show text; `judge` gives each line's kind, for problem 5."""
+    text, r = visible(content)
+    page = Page(r is not None)
+    for i, t in enumerate(text):
+        if not t:
+            continue
+        items = [p.strip() for p in SEPARATORS.split(t) if p.strip()]
+        single = bool(NAME.match(t))
+        looks = single + 2 * (single and of_page(t, own)) + 4 * bool(COPYRIGHT.match(t)) + 8 * bool(SENTENCE_END.search(t)) + 16 * bool(items and SENTENCE_END.search(items[-1]))
+        page.row.append(i)
+        page.size.append(width(t))
+        page.units.append(units(t))
+        page.looks.append(looks + 32 * any(COPYRIGHT.match(p) for p in items) + 64 * (len(t.split()) > LABEL_WORDS or not DIGIT.search(t)))
+        page.names.append(sum(bool(NAME.match(p)) for p in items) if len(items) > 1 else 0)
+        page.kinds.append(judge(t) if judge else None)
+        if r is None:
+            page.tags.append(max(0, len(items) - 1))  # separators stand for tags there
+            page.linked.append(0)
+            page.strong.append(False)
+            page.box.append(0)
+        else:
+            page.tags.append(r.tags[i])
+            page.linked.append(r.linked[i])
+            page.strong.append(r.strong[i])
+            page.box.append(r.where[i])
+    if r is not None:
+        page.up, page.around, page.main, page.part = r.up, r.around, r.main, [t in PARTS for t in r.tag]
+        page.notes = [(judge(t) or "", known_as(t)) for t in r.notes] if judge else []
+    return page
 
 
 def smoothed(ratio: np.ndarray) -> np.ndarray:
@@ -155,7 +254,7 @@ def smoothed(ratio: np.ndarray) -> np.ndarray:
 
 
 def threshold(s: np.ndarray) -> float:
-    """The midpoint of two means of the logarithms of smoothed ratios; below all if they are all the same."""
+    """The midpoint of two means of the logarithms of smoothed ratios; below all if the two aren't APART, as of lines that are all alike."""
     low, high = s.min(), s.max()
     if high - low < 1e-9:
         return -np.inf
@@ -166,7 +265,7 @@ def threshold(s: np.ndarray) -> float:
         if abs(a - low) + abs(b - high) < 1e-6:
             break
         low, high = a, b
-    return (low + high) / 2
+    return (low + high) / 2 if high - low > APART else -np.inf
 
 
 def content_lines(ratio: np.ndarray) -> np.ndarray:
@@ -175,176 +274,161 @@ def content_lines(ratio: np.ndarray) -> np.ndarray:
     return s > threshold(s) if len(s) else np.zeros(0, bool)
 
 
-@lru_cache(maxsize=1 << 16)  # the same menus and footers stand on every page of a host
-def around(text: str) -> bool:
-    """Whether a line's text alone shows that it isn't of the main body."""
-    key = plain(text)
-    if key in VOCABULARY or COPYRIGHT.match(text) or NONCE.match(text):
-        return True
-    parts = [p.strip() for p in SEPARATORS.split(text) if p.strip()]
-    if len(parts) < 2:
-        return False
-    known = sum(plain(p) in VOCABULARY or bool(COPYRIGHT.match(p)) for p in parts)
-    named = sum(bool(NAME.match(p)) for p in parts)
-    return known >= 2 or (known == 1 and known + named >= 2 and not SENTENCE_END.search(parts[-1]))
+Known = frozenset[int] | set[int]
+NOTHING: Known = frozenset()
+IN, OUT, OPEN = 1, -1, 0
 
 
-def of_page(name: str, own: str) -> bool:
-    """Whether a product's name is the page's own, by the page's address or title."""
-    key = re.sub(r"[^a-z0-9]+", "-", name.lower().replace("+", " plus")).strip("-")
-    return bool(key) and bool(re.search(rf"(?:^|-){re.escape(key)}(?:-[0-9a-f]{{4,}})?$", own))
+def lonely(pages: int) -> bool:
+    """Whether a host has so few pages that a line seen on one of them alone, outside the core, is likelier to stand around bodies."""
+    return OUTSIDE * (1 - SPREAD) ** (pages - 1) > 1
 
 
-def slug(url: str | None, title: str | None = None) -> str:
-    """What a page's address calls it, as words joined by -; if there is no address, what its title does."""
-    path = re.sub(r"[?#].*$", "", url or "").rstrip("/")
-    last = path.rsplit("/", 1)[-1] if "/" in path else ""
-    return re.sub(r"[^a-z0-9]+", "-", (last or (title or "").split("|")[0]).lower()).strip("-")
+def around(p: Page, n: int, known: Known) -> bool:
+    """Whether what a line says shows that it isn't of the main body: it is known to stand around bodies, or its items are."""
+    if p.units[n][0] in known or p.looks[n] & 4:
+        return True
+    if len(p.units[n]) < 3:
+        return False
+    some = sum(u in known for u in p.units[n][1:]) + bool(p.looks[n] & 32)
+    return some >= 2 or (some == 1 and some + p.names[n] >= 2 and not p.looks[n] & 16)
 
 
-def of_markup(r: Reader) -> list[int]:
-    """The main body's lines of a page with markup."""
-    shown = [i for i, t in enumerate(r.text) if t]
-    if not shown:
-        return []
-    size = np.array([len(r.text[i]) for i in shown], float)
-    tags = np.array([r.tags[i] for i in shown], float)
-    ratio = size / (tags + 1)
+def of_lines(p: Page, at: list[int], out: list[bool], body: Known, pages: int, first: bool) -> list[int]:
+    """For each of some lines that no elements divide: IN or OUT of the main body, or OPEN.
+
+    The core reaches from the first to the last line of the upper cluster. Within it a line is of the body unless it is known to stand around; so is the line
+    just before it, as a heading. Outside, a line is of the body if the host's other pages have it in theirs, or if nobody has it, although the host's
+    menus and footers would be on other pages too; of few pages, the ratios decide. first: nothing is known yet.
+    """
+    ratio = np.array([p.size[n] / (1 + p.tags[n]) for n in at], float)
     s = np.log1p(smoothed(ratio))
-    t = threshold(s)
-    rich = dict(zip(shown, s > t, strict=True))
-    alone = dict(zip(shown, np.log1p(ratio) > t, strict=True))  # a region of a line or two is smoothed away by what is around it
-    out = {i: around(r.text[i]) for i in shown}
-    for i in shown:
-        r.where[i].add(i)
-    top = r.root  # down to where the page divides into regions
-    while not top.own and sum(bool(k.all) for k in top.kids) == 1:
-        top = next(k for k in top.kids if k.all)
-    if top.own or not top.kids:
-        while top.up is not None and top.tag in ("section",):
-            top = top.up
-
-    def weight(lines: list[int]) -> float:
-        total = 0.0
-        for i in lines:
-            if out[i]:
-                continue
-            free = len(r.text[i]) - r.linked[i]
-            total += free * (1.0 if rich[i] else 0.5) + (60 if r.strong[i] else 0)
-        return total
-
-    regions = [(k, k.all) for k in top.kids]
-    if top.own:
-        regions.append((top, list(top.own)))
-    def discount(box: Box, inside: list[int]) -> float:
-        direct = [i for i in inside if r.where[i] is box or r.where[i].up is box]
-        return 0.1 if not any(r.strong[i] for i in inside) and any(out[i] for i in direct) else 1.0  # some of a region's own lines are known from menus, footers and the like
-
-    def of_body(box: Box, lines: list[int], inside: list[int]) -> bool:
-        """Whether a region beside the heaviest is of the body too: its text outside links outweighs known lines and lines of links alone."""
-        if box is not top and box.around and not box.main:
-            return False
-        free = {i: len(r.text[i]) - r.linked[i] for i in lines}
-        own = sum(free[i] for i in inside if not out[i] and (rich[i] or alone[i] or r.strong[i]))
-        return own * discount(box, inside) > sum(len(r.text[i]) for i in lines if out[i] or free[i] <= 0)
-
-    best, most = None, 0.0
-    seen: dict[Box, tuple[bool, frozenset[int]]] = {}
-    judged = []
-    for box, lines in regions:
-        if not lines:
+    cut = threshold(s) if len(at) else 0.0
+    rich = s > cut
+    up = np.flatnonzero(rich & (np.log1p(ratio) > cut) & ~np.array([out[n] for n in at], bool))  # a core begins and ends with lines that are rich themselves
+    lo, hi = (int(up[0]), int(up[-1])) if len(up) else (len(at), -1)
+    if first and len(up):  # the run of most text: other lines of the upper cluster, beyond GAP others, are left open, and what lies between
+        runs = np.split(up, np.flatnonzero(np.diff(up) > GAP + 1) + 1)
+        run = max(runs, key=lambda x: sum(p.size[at[k]] for k in x))
+        ends, lo, hi = (lo, hi), int(run[0]), int(run[-1])
+    alone = lonely(pages)
+    own = any(p.looks[n] & 2 for n in at)
+    where = []
+    kept = False
+    before: int | None = None  # the main line just above, if there is one
+    for k, n in enumerate(at):
+        inside = lo <= k <= hi
+        if first:
+            where.append(IN if inside else OPEN if len(up) and ends[0] - 1 <= k <= ends[1] else OUT)
             continue
-        if box is not top:
-            inside = [i for i in lines if not dropped(r, i, box, out, seen)]
+        wrapped = before is not None and p.row[before] == p.row[n] - 1 and p.size[before] > 50 and not p.looks[before] & 8
+        if p.looks[n] & 1 and not (wrapped and rich[k]):
+            follows = k + 1 < len(at) and p.row[at[k + 1]] == p.row[n] + 1 and p.looks[at[k + 1]] & 1
+            heads = alone and not own and k == lo - 1  # nothing on the page is named as its address is
+            fits = not kept and not follows and (p.looks[n] & 2 or heads)  # the page's own name is its heading, or in a list of others
+        elif out[n]:
+            fits = False
         else:
-            inside = lines
-        judged.append((box, lines, inside))
-        w = weight(inside)
-        if box is not top:
-            w *= discount(box, inside)
-            if box.around and not box.main:
-                w *= 0.02
-            elif box.main:
-                w *= 3
-        if w > most:
-            best, most = (box, inside), w
-    if best is None:
-        return []
-    if best[0].around and not best[0].main and most < 1:
-        return []
-    keep = list(best[1])
-    for box, lines, inside in judged:
-        if box is not best[0] and of_body(box, lines, inside):
-            keep += [i for i in inside if r.strong[i] or not out[i]]
-    return sorted(keep)
+            fits = inside or k == lo - 1 or p.units[n][0] in body or not alone
+        where.append(IN if fits else OUT)
+        kept, before = kept or bool(fits), n if fits else None
+    return where
 
 
-def verdict(r: Reader, box: Box, out: dict[int, bool]) -> tuple[bool, frozenset[int]]:
-    """Of a box within a region: whether all of it is a promotion or the like, and if not, which of its lines are.
+def judged(p: Page, known: Known = NOTHING, body: Known = NOTHING, pages: int = 1, first: bool = False) -> list[int]:
+    """For each line: IN or OUT of the main body, or OPEN, where it is a question of what the host's other pages say.
 
-    Known lines make a box theirs if they are most of its text outside links; else they alone aren't of the main body.
+    known: hashes of the lines that stand around bodies on the host's pages; body: of those that stand within; pages: how many pages the host has.
+    first: nothing is known; small boxes within the body count as outside, further regions of it are left open.
     """
-    if box.tag in ("section", "main", "article", "figure"):
-        return False, frozenset()
-    if box.around:
-        return True, frozenset()
-    lines = box.all
-    if any(r.strong[j] for j in lines):
-        return False, frozenset()
-    if len(lines) <= 4 and all(out[j] or NAME.match(r.text[j]) for j in lines):
-        return True, frozenset()
-    known = frozenset(j for j in lines if plain(r.text[j]) in VOCABULARY)
-    free = {j: len(r.text[j]) - r.linked[j] for j in lines}
-    if known and 2 * sum(free[j] for j in known) >= sum(free.values()):
-        return True, frozenset()
-    return False, known
-
-
-def dropped(r: Reader, i: int, region: Box, out: dict[int, bool], seen: dict[Box, tuple[bool, frozenset[int]]]) -> bool:
-    """Whether a line of a region is a promotion or the like, or lies in a box within it that holds one. seen: the verdicts so far."""
-    box = r.where[i]
-    while box is not region and box is not None:
-        if box not in seen:
-            seen[box] = verdict(r, box, out)
-        whole, known = seen[box]
-        if whole or i in known:
-            return True
-        box = box.up
-    return False
-
-
-def of_plain(lines: list[str], own: str) -> list[int]:
-    """The main body's lines of a page without markup. Separators between short items stand for the tags there."""
-    text = [html.unescape(x).strip() for x in lines]
-    shown = [i for i, t in enumerate(text) if t]
-    if not shown:
+    n = len(p.row)
+    if not n:
         return []
-    ratio = np.array([len(text[i]) / (1 + len(SEPARATORS.findall(text[i]))) for i in shown])
-    rich = dict(zip(shown, content_lines(ratio), strict=True))
-    keep = []
-    before: int | None = None  # the main line just above, if there is one
-    for n, i in enumerate(shown):
-        t = text[i]
-        wrapped = before is not None and before == i - 1 and len(text[before]) > 50 and not SENTENCE_END.search(text[before])
-        if around(t):
-            before = None
+    out = [around(p, i, known) for i in range(n)]
+    if not p.markup:
+        return of_lines(p, list(range(n)), out, body, pages, first)
+    boxes = len(p.up)
+    size, linked, strong = (np.array(x, float) for x in (p.size, p.linked, p.strong))
+    tags, where, gone = np.array(p.tags, float), np.array(p.box), np.array(out)
+    ratio = size / (tags + 1)
+    s = np.log1p(smoothed(ratio))
+    cut = threshold(s)
+    rich = s > cut
+    free = size - linked
+    single = np.log1p(ratio) > cut  # a region or box of a line or two is smoothed away by what is around it
+    own = np.zeros((boxes, 7))  # of each box: lines, lines of headings and cells, known lines, lines that are known or names, text outside links, and of known lines, lines of the upper cluster
+    named = np.array([bool(x & 1) for x in p.looks])
+    np.add.at(own, where, np.stack([np.ones(n), strong, gone, gone | named, free, free * gone, rich | single], 1))
+    whole = own.tolist()
+    for b in range(boxes - 1, 0, -1):
+        mine, holder = whole[b], whole[p.up[b]]
+        for c in range(7):
+            holder[c] += mine[c]
+    kids: list[list[int]] = [[] for _ in range(boxes)]
+    for b in range(1, boxes):
+        if whole[b][0]:
+            kids[p.up[b]].append(b)
+    top = 0  # down to where the page divides into regions
+    while not own[top][0] and len(kids[top]) == 1:
+        top = kids[top][0]
+    if own[top][0] or not kids[top]:
+        while p.up[top] >= 0 and p.part[top] and not p.main[top]:
+            top = p.up[top]
+    region, dead = [-1] * boxes, [False] * boxes  # which region a box lies in, and whether it holds none of the body
+    for b in range(boxes):
+        holder = p.up[b]
+        if holder == top:
+            region[b] = b
+        elif holder >= 0 and region[holder] >= 0:
+            region[b] = region[holder]
+            lines, heads, few, listed, text, theirs, full = whole[b]
+            small = not heads and not p.part[b] and (lines <= 4 and (first or listed == lines or (lonely(pages) and not full)) or (few and 2 * theirs >= text))
+            dead[b] = dead[holder] or (not p.part[b] and p.around[b]) or bool(small)
+    of = np.array([region[b] if region[b] >= 0 else top for b in p.box])
+    lost = np.array([dead[b] for b in p.box])
+    shown = ~lost & ~(gone & (strong == 0))  # of the known lines, headings and cells stay with their region
+    direct = np.array([b == of[i] or p.up[b] == of[i] for i, b in enumerate(p.box)])
+    best, most, rivals = -1, 0.0, []
+    for g in dict.fromkeys(of.tolist()):
+        mine = of == g
+        inside = mine & shown
+        discount = 1.0 if g == top or strong[inside].any() or not (mine & direct & gone).any() else 0.1  # some of a region's own lines are known
+        weight = float((free * (rich | (strong > 0)))[inside].sum() + 60 * strong[inside].sum() + 0.5 * (free * ~rich)[inside].sum()) * discount
+        if g != top:
+            weight *= 0.02 if p.around[g] and not p.main[g] else 3 if p.main[g] else 1
+        rivals.append((g, mine, inside, discount))
+        if weight > most:
+            best, most = g, weight
+    if best < 0 or (best != top and p.around[best] and not p.main[best] and most < 1):
+        return [OUT] * n
+    result = np.full(n, OUT)
+    for g, mine, inside, discount in rivals:
+        if g == best:
+            result[inside] = IN
+            if g == top and not strong[mine].any():  # lines that no elements divide
+                at = np.flatnonzero(inside).tolist()
+                result[at] = of_lines(p, at, out, body, pages, first)
             continue
-        if not (wrapped and rich[i]) and NAME.match(t):
-            follows = n + 1 < len(shown) and shown[n + 1] == i + 1 and NAME.match(text[i + 1])
-            if keep or follows or not of_page(t, own):  # the page's own name is its heading, or in a list of others
-                before = None
-                continue
-        keep.append(i)
-        before = i
-    return keep
-
-
-def main_lines(content: str, own: str = "") -> tuple[list[int], list[str], list[str]]:
-    """The numbers of the lines of content (split at line feeds, from 0) in the main body, each such line's visible text, and the texts in noscript."""
-    lines = content.split("\n")
-    if not TAG.search(content):
-        keep = of_plain(lines, own)
-        return keep, [html.unescape(lines[i]).strip() for i in keep], []
-    r = Reader().take(lines)
-    keep = of_markup(r)
-    return keep, [r.text[i] for i in keep], r.notes
+        if g != top and p.around[g] and not p.main[g]:
+            continue
+        held = inside & (rich | single | (strong > 0)) & ~gone
+        text = float(free[held].sum()) * discount
+        if text > float(size[mine & (gone | (free <= 0))].sum()) + (float(free[mine & ~held & ~gone].sum()) if first or lonely(pages) else 0):
+            result[inside & ((strong > 0) | ~gone)] = OPEN if first else IN
+    return result.tolist()
+
+
+def told(p: Page) -> tuple[list[int], list[int]]:
+    """The hashes that a page has within its body and around it, as far as its markup and ratios alone tell."""
+    within, about = {}, {}
+    for us, looks, w in zip(p.units, p.looks, judged(p, first=True), strict=True):
+        if w or (p.markup and looks & 64):  # of a further region only what recurs word by word tells something
+            for u in us:
+                (within if w == IN else about)[u] = None
+    return list(within), [u for u in about if u not in within]
+
+
+def main_lines(content: str, own: str = "", known: Known = NOTHING, body: Known = NOTHING, pages: int = 1) -> list[int]:
+    """The numbers of a page's lines, split at line feeds and counted from 0, in the main body. known, body, pages: what its host's pages teach (see judged)."""
+    p = read(content, own)
+    return [r for r, w in zip(p.row, judged(p, known, body, pages), strict=True) if w == IN]
