@@ -74,20 +74,38 @@ _LATIN = frozenset(w[:3] for w in _STANDARD if len(w) > 2)
 _FUNCTION = _COMMON - _STANDARD
 
 
-@lru_cache(maxsize=1 << 14)
+_SENSES: dict[str, frozenset[str]] = {}
+for _k, _v in [*_PLAIN.items(), ("not", _NOT), ("common", _COMMON)]:
+    for _w in _v:
+        _SENSES[_w] = _SENSES.get(_w, frozenset()) | {_k}
+_ANY_STEM = T.matcher(" ".join(w for v in [*T.TOPICS.values(), *T.STATES.values(), T.NOT] for w in v.split() if w.endswith("-")))
+_NOTHING: frozenset[str] = frozenset()
+_REFERENCE = re.compile(r"(?=\w*\d)[0-9a-f]{4,}\Z")
+
+
 def senses(token: str) -> frozenset[str]:
     """What a word can mean in a message: topics, states, `not`, `common`; empty if it isn't a word of messages."""
+    found = _SENSES.get(token)
+    return found if found is not None else _rarer(token)
+
+
+@lru_cache(maxsize=1 << 15)
+def _rarer(token: str) -> frozenset[str]:
+    if token.isdigit() or _REFERENCE.match(token):  # references are hexadecimal
+        return frozenset(("common",))
+    if _ANY_STEM.match(token):
+        return frozenset(k for k, m in _STEMS.items() if m.match(token)) or _NOTHING
     token = token.replace("’", "'")
-    found = {k for k, v in _PLAIN.items() if token in v} | {k for k, m in _STEMS.items() if m.match(token)}
-    if token in _NOT:
-        found.add("not")
-    if token in _COMMON or token.isdigit() or re.fullmatch(r"(?=\w*\d)[0-9a-f]{4,}", token):  # references are hexadecimal
-        found.add("common")
-    if not found and "'" in token:  # l'accès, n'est, we're
+    if token in _SENSES:
+        return _SENSES[token]
+    if "'" in token:  # l'accès, n'est, we're
         parts = [senses(x) if x in _COMMON or len(x) > 1 else frozenset(("common",)) for x in token.split("'")]
         if all(parts):
-            found = set().union(*parts)
-    return frozenset(found)
+            return frozenset().union(*parts)
+    return _NOTHING
+
+
+_MERELY = frozenset(("not", "common"))
 
 
 def told(s: set[str], tokens: list[str]) -> bool:
@@ -154,7 +172,7 @@ def latin(words: list[str]) -> bool:
     n = len(words)
     if n < 3 or not ("lorem" in words or "ipsum" in words or n >= 5):
         return False
-    return sum(w in _STANDARD or w[:3] in _LATIN for w in words) >= 0.6 * n and sum(w in _FUNCTION for w in words) <= 0.2 * n
+    return len([w for w in words if w in _STANDARD or w[:3] in _LATIN]) >= 0.6 * n and len([w for w in words if w in _FUNCTION]) <= 0.2 * n
 
 
 @lru_cache(maxsize=1 << 12)
@@ -167,7 +185,7 @@ def stand_in(text: str, words: list[str]) -> bool:
     """Whether a text stands in for another: it names what should be here, and little else."""
     if HAN.search(text):
         return any(any(x in text for x in a) and any(x in text for x in b) for a, b in _HAN_FILL) and sum(len(m[0]) for m in _HAN_FILL_KNOWN.finditer(text)) >= ALL * len(text)
-    state = sum(w in _FILL["state"] for w in words)
+    state = len([w for w in words if w in _FILL["state"]])
     if not state:
         return False
     topic = sum(w in _FILL["topic"] for w in words)
@@ -181,7 +199,7 @@ def filler(text: str) -> bool:
     words = WORD.findall(low)
     if not words:
         return False
-    if all(map(mashed, words)) and (len(words) > 1 or len(words[0]) > 3):
+    if mashed(words[0]) and all(map(mashed, words)) and (len(words) > 1 or len(words[0]) > 3):
         return True
     return (latin(words) and not re.search(r"\d", low)) or (words.count(words[0]) > 1 and repeats(words)) or stand_in(low, words)
 
@@ -219,6 +237,13 @@ def evidence(line: str) -> str | None:
         return "placeholder"
     if filler(text):
         return "filler"
+    if not HAN.search(text):
+        tokens = TOKEN.findall(text.lower())
+        meant = _NOTHING.union(*map(senses, tokens))
+        if meant <= _MERELY:  # no topic and no state: no message, but perhaps words alone that any has, or what programs print
+            if OUTPUT.match(text) or STATUS.match(text) or CODE.match(text):
+                return "failure" if failed(text) else None
+            return "interim" if interim(text) else None
     if failed(text):
         return "failure"
     clauses = CLAUSE.split(text, maxsplit=2)

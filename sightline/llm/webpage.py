@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import html
+import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache, wraps
 from hashlib import blake2b
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import numpy as np
 
@@ -71,18 +74,23 @@ def known_as(text: str) -> int:
     return int.from_bytes(blake2b(whole.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-@remembered
-def units(text: str) -> tuple[int, ...]:
-    """The hash of a line, and those of its items if separators divide it."""
-    items = [p.strip() for p in SEPARATORS.split(text) if p.strip()]
-    return (known_as(text), *(known_as(p) for p in items)) if len(items) > 1 else (known_as(text),)
-
-
 def width(text: str) -> int:
     """The places that a text takes: characters of East Asian scripts, which say more each, take two."""
     return len(text) if text.isascii() else len(text) + len(WIDE.findall(text))
 
 
+@remembered
+def features(text: str) -> tuple[tuple[int, ...], int, int, int, int]:
+    """Of a line's text: its hash and those of its items if separators divide it, looks (see Page), names among the items, width, and separators."""
+    items = [x.strip() for x in SEPARATORS.split(text) if x.strip()] if SEPARATORS.search(text) else [text]
+    many = len(items) > 1
+    single = text[0].isupper() and bool(DIGIT.search(text)) and bool(NAME.match(text))
+    looks = single + 4 * bool(COPYRIGHT.match(text)) + 8 * bool(SENTENCE_END.search(text)) + 16 * bool(SENTENCE_END.search(items[-1] if items else text))
+    looks += 32 * any(COPYRIGHT.match(x) for x in items) + 64 * (not DIGIT.search(text) or len(text.split()) > LABEL_WORDS)
+    hashes = (known_as(text), *(known_as(x) for x in items)) if many else (known_as(text),)
+    return hashes, looks, sum(bool(NAME.match(x)) for x in items) if many else 0, width(text), max(0, len(items) - 1)
+
+
 @dataclass
 class Page:
     """The lines of a page that show text, and the boxes (elements that hold lines) they lie in; a box's number is above its holder's."""
@@ -217,28 +225,17 @@ def read(content: str, own: str = "", judge: Callable[[str], str | None] | None
     """A page's lines that show text; `judge` gives each line's kind, for problem 5."""
     text, r = visible(content)
     page = Page(r is not None)
-    for i, t in enumerate(text):
-        if not t:
-            continue
-        items = [p.strip() for p in SEPARATORS.split(t) if p.strip()]
-        single = bool(NAME.match(t))
-        looks = single + 2 * (single and of_page(t, own)) + 4 * bool(COPYRIGHT.match(t)) + 8 * bool(SENTENCE_END.search(t)) + 16 * bool(items and SENTENCE_END.search(items[-1]))
-        page.row.append(i)
-        page.size.append(width(t))
-        page.units.append(units(t))
-        page.looks.append(looks + 32 * any(COPYRIGHT.match(p) for p in items) + 64 * (len(t.split()) > LABEL_WORDS or not DIGIT.search(t)))
-        page.names.append(sum(bool(NAME.match(p)) for p in items) if len(items) > 1 else 0)
-        page.kinds.append(judge(t) if judge else None)
-        if r is None:
-            page.tags.append(max(0, len(items) - 1))  # separators stand for tags there
-            page.linked.append(0)
-            page.strong.append(False)
-            page.box.append(0)
-        else:
-            page.tags.append(r.tags[i])
-            page.linked.append(r.linked[i])
-            page.strong.append(r.strong[i])
-            page.box.append(r.where[i])
+    shown = [i for i, t in enumerate(text) if t]
+    seen = [features(text[i]) for i in shown]
+    page.row = shown
+    page.units, page.names, page.size = [x[0] for x in seen], [x[2] for x in seen], [x[3] for x in seen]
+    page.looks = [x[1] + 2 * (x[1] & 1 and of_page(text[i], own)) for i, x in zip(shown, seen, strict=True)]
+    page.kinds = [judge(text[i]) for i in shown] if judge else []
+    if r is None:
+        page.tags = [x[4] for x in seen]  # separators stand for tags there
+        page.linked, page.strong, page.box = [0] * len(shown), [False] * len(shown), [0] * len(shown)
+    else:
+        page.tags, page.linked, page.strong, page.box = ([x[i] for i in shown] for x in (r.tags, r.linked, r.strong, r.where))
     if r is not None:
         page.up, page.around, page.main, page.part = r.up, r.around, r.main, [t in PARTS for t in r.tag]
         page.notes = [(judge(t) or "", known_as(t)) for t in r.notes] if judge else []
@@ -250,18 +247,18 @@ def smoothed(ratio: np.ndarray) -> np.ndarray:
     n, k = len(ratio), len(KERNEL) // 2
     if n <= k:
         return np.full(n, ratio.mean() if n else 0.0)
-    return np.convolve(np.pad(ratio, k, mode="reflect"), KERNEL, "valid")
+    return np.convolve(np.concatenate([ratio[k:0:-1], ratio, ratio[-2 : -k - 2 : -1]]), KERNEL, "valid")
 
 
 def threshold(s: np.ndarray) -> float:
     """The midpoint of two means of the logarithms of smoothed ratios; below all if the two aren't APART, as of lines that are all alike."""
-    low, high = s.min(), s.max()
-    if high - low < 1e-9:
+    x = sorted(s.tolist())
+    if not x or x[-1] - x[0] < 1e-9:
         return -np.inf
+    low, high, sums = x[0], x[-1], list(accumulate(x, initial=0.0))
     for _ in range(12):
-        t = (low + high) / 2
-        up = s > t
-        a, b = s[~up].mean() if (~up).any() else low, s[up].mean() if up.any() else high
+        k = bisect_right(x, (low + high) / 2)
+        a, b = sums[k] / k if k else low, (sums[-1] - sums[k]) / (len(x) - k) if k < len(x) else high
         if abs(a - low) + abs(b - high) < 1e-6:
             break
         low, high = a, b
@@ -348,32 +345,40 @@ def judged(p: Page, known: Known = NOTHING, body: Known = NOTHING, pages: int =
     if not p.markup:
         return of_lines(p, list(range(n)), out, body, pages, first)
     boxes = len(p.up)
-    size, linked, strong = (np.array(x, float) for x in (p.size, p.linked, p.strong))
-    tags, where, gone = np.array(p.tags, float), np.array(p.box), np.array(out)
-    ratio = size / (tags + 1)
-    s = np.log1p(smoothed(ratio))
+    ratio = [a / (t + 1) for a, t in zip(p.size, p.tags, strict=True)]
+    s = np.log1p(smoothed(np.array(ratio)))
     cut = threshold(s)
-    rich = s > cut
-    free = size - linked
-    single = np.log1p(ratio) > cut  # a region or box of a line or two is smoothed away by what is around it
-    own = np.zeros((boxes, 7))  # of each box: lines, lines of headings and cells, known lines, lines that are known or names, text outside links, and of known lines, lines of the upper cluster
-    named = np.array([bool(x & 1) for x in p.looks])
-    np.add.at(own, where, np.stack([np.ones(n), strong, gone, gone | named, free, free * gone, rich | single], 1))
-    whole = own.tolist()
+    rich = (s > cut).tolist()
+    single = [math.log1p(x) > cut for x in ratio]  # a region or box of a line or two is smoothed away by what is around it
+    free = [a - x for a, x in zip(p.size, p.linked, strict=True)]
+    heads, gone = p.strong, out
+    # of each box, with the boxes in it: lines, headings and cells, lines that are known or names, text outside links, that of known lines, lines of the upper cluster
+    lines, strong, listed, text, theirs, full = ([0] * boxes for _ in range(6))
+    own = [0] * boxes
+    for i, b in enumerate(p.box):
+        own[b] += 1
+        strong[b] += heads[i]
+        listed[b] += gone[i] or p.looks[i] & 1
+        text[b] += free[i]
+        theirs[b] += free[i] * gone[i]
+        full[b] += rich[i] or single[i]
+    lines[:] = own
     for b in range(boxes - 1, 0, -1):
-        mine, holder = whole[b], whole[p.up[b]]
-        for c in range(7):
-            holder[c] += mine[c]
+        if lines[b]:
+            holder = p.up[b]
+            for x in (lines, strong, listed, text, theirs, full):
+                x[holder] += x[b]
     kids: list[list[int]] = [[] for _ in range(boxes)]
     for b in range(1, boxes):
-        if whole[b][0]:
+        if lines[b]:
             kids[p.up[b]].append(b)
     top = 0  # down to where the page divides into regions
-    while not own[top][0] and len(kids[top]) == 1:
+    while not own[top] and len(kids[top]) == 1:
         top = kids[top][0]
-    if own[top][0] or not kids[top]:
+    if own[top] or not kids[top]:
         while p.up[top] >= 0 and p.part[top] and not p.main[top]:
             top = p.up[top]
+    few = lonely(pages)
     region, dead = [-1] * boxes, [False] * boxes  # which region a box lies in, and whether it holds none of the body
     for b in range(boxes):
         holder = p.up[b]
@@ -381,41 +386,42 @@ def judged(p: Page, known: Known = NOTHING, body: Known = NOTHING, pages: int =
             region[b] = b
         elif holder >= 0 and region[holder] >= 0:
             region[b] = region[holder]
-            lines, heads, few, listed, text, theirs, full = whole[b]
-            small = not heads and not p.part[b] and (lines <= 4 and (first or listed == lines or (lonely(pages) and not full)) or (few and 2 * theirs >= text))
+            small = not strong[b] and not p.part[b] and (lines[b] <= 4 and (first or listed[b] == lines[b] or (few and not full[b])) or (theirs[b] and 2 * theirs[b] >= text[b]))
             dead[b] = dead[holder] or (not p.part[b] and p.around[b]) or bool(small)
-    of = np.array([region[b] if region[b] >= 0 else top for b in p.box])
-    lost = np.array([dead[b] for b in p.box])
-    shown = ~lost & ~(gone & (strong == 0))  # of the known lines, headings and cells stay with their region
-    direct = np.array([b == of[i] or p.up[b] == of[i] for i, b in enumerate(p.box)])
-    best, most, rivals = -1, 0.0, []
-    for g in dict.fromkeys(of.tolist()):
-        mine = of == g
-        inside = mine & shown
-        discount = 1.0 if g == top or strong[inside].any() or not (mine & direct & gone).any() else 0.1  # some of a region's own lines are known
-        weight = float((free * (rich | (strong > 0)))[inside].sum() + 60 * strong[inside].sum() + 0.5 * (free * ~rich)[inside].sum()) * discount
-        if g != top:
-            weight *= 0.02 if p.around[g] and not p.main[g] else 3 if p.main[g] else 1
-        rivals.append((g, mine, inside, discount))
+    of = [region[b] if region[b] >= 0 else top for b in p.box]
+    shown = [not dead[b] and (not gone[i] or heads[i]) for i, b in enumerate(p.box)]  # of the known lines, headings and cells stay with their region
+    # of each region: its weight, whether it shows a heading or cell, whether some of its own lines are known, the text it holds, and what speaks against it
+    rivals: dict[int, list[float]] = {}
+    for i, g in enumerate(of):
+        r = rivals.setdefault(g, [0.0, 0.0, 0.0, 0.0, 0.0])
+        held = shown[i] and not gone[i] and (rich[i] or single[i] or heads[i])
+        if shown[i]:
+            r[0] += free[i] * (1.0 if rich[i] or heads[i] else 0.5) + 60 * heads[i]
+            r[1] += heads[i]
+        if gone[i] and (p.box[i] == g or p.up[p.box[i]] == g):
+            r[2] = 1.0
+        if held:
+            r[3] += free[i]
+        if gone[i] or free[i] <= 0:
+            r[4] += p.size[i]
+        elif not held and (first or few):
+            r[4] += free[i]
+    best, most = -1, 0.0
+    for g, r in rivals.items():
+        discount = 0.1 if g != top and not r[1] and r[2] else 1.0
+        r[3] *= discount
+        weight = r[0] * discount * (1.0 if g == top else 0.02 if p.around[g] and not p.main[g] else 3.0 if p.main[g] else 1.0)
         if weight > most:
             best, most = g, weight
     if best < 0 or (best != top and p.around[best] and not p.main[best] and most < 1):
         return [OUT] * n
-    result = np.full(n, OUT)
-    for g, mine, inside, discount in rivals:
-        if g == best:
-            result[inside] = IN
-            if g == top and not strong[mine].any():  # lines that no elements divide
-                at = np.flatnonzero(inside).tolist()
-                result[at] = of_lines(p, at, out, body, pages, first)
-            continue
-        if g != top and p.around[g] and not p.main[g]:
-            continue
-        held = inside & (rich | single | (strong > 0)) & ~gone
-        text = float(free[held].sum()) * discount
-        if text > float(size[mine & (gone | (free <= 0))].sum()) + (float(free[mine & ~held & ~gone].sum()) if first or lonely(pages) else 0):
-            result[inside & ((strong > 0) | ~gone)] = OPEN if first else IN
-    return result.tolist()
+    others = {g for g, r in rivals.items() if g != best and not (g != top and p.around[g] and not p.main[g]) and r[3] > r[4]}
+    result = [IN if of[i] == best and shown[i] else (OPEN if first else IN) if of[i] in others and shown[i] else OUT for i in range(n)]
+    if best == top and not any(heads[i] for i in range(n) if of[i] == top):  # lines that no elements divide
+        at = [i for i in range(n) if of[i] == top and shown[i]]
+        for i, w in zip(at, of_lines(p, at, out, body, pages, first), strict=True):
+            result[i] = w
+    return result
 
 
 def told(p: Page) -> tuple[list[int], list[int]]:
