@@ -105,6 +105,8 @@ def _rarer(token: str) -> frozenset[str]:
     return _NOTHING
 
 
+_TOPICS = frozenset(T.TOPICS)
+BARE = re.compile(r"\W*[45]\d\d\W*")
 _MERELY = frozenset(("not", "common"))
 
 
@@ -129,7 +131,7 @@ def told(s: set[str], tokens: list[str]) -> bool:
     )
 
 
-def message(text: str) -> float:
+def message(text: str, tokens: list[str] | None = None, meant: list[frozenset[str]] | None = None) -> float:
     """How much of a text is the message of a page that failed, was withheld, or wants scripts: 0 if no topic meets its state, else the share of its words that such messages have."""
     low = text.lower()
     if HAN.search(low):
@@ -137,26 +139,24 @@ def message(text: str) -> float:
         if not any(any(x in low for x in a) and any(x in low for x in b) for a, b in _HAN):
             return 0.0
         return sum(spans) / len(low)
-    tokens = TOKEN.findall(low)
-    meant = [senses(t) for t in tokens]
-    known = sum(map(bool, meant))
+    if tokens is None or meant is None:
+        tokens = TOKEN.findall(low)
+        meant = [senses(t) for t in tokens]
+    known = len(meant) - meant.count(_NOTHING)
     cover = known / (known + 2 * (len(tokens) - known)) if tokens else 0.0
     if cover < COVER or not _ABOUT.isdisjoint(tokens) or "if" in tokens[1:]:
         return 0.0
     return cover if told(set().union(*meant), tokens) else 0.0
 
 
-def interim(text: str) -> bool:
+def interim(text: str, tokens: list[str], meant: list[frozenset[str]]) -> bool:
     """Whether a text may be a message where a page says nothing else: it holds little but words of messages, as what says to wait, or to go on, does; or it is about a page, a server, access or scripts; or it is a bare code."""
     if HAN.search(text):
         return any(x in text for a, _ in _HAN for x in a) and sum(len(m[0]) for m in _HAN_KNOWN.finditer(text)) >= COVER * len(text)
-    tokens = TOKEN.findall(text.lower())
-    meant = [senses(t) for t in tokens]
-    known = sum(map(bool, meant))
-    if not _ABOUT.isdisjoint(tokens) or not tokens:
+    known = len(meant) - meant.count(_NOTHING)
+    if not tokens or known < 2 * (len(tokens) - known) or not _ABOUT.isdisjoint(tokens):
         return False
-    topic = any(m & T.TOPICS.keys() for m in meant)
-    return (len(tokens) >= 2 and known >= ALL * len(tokens)) or (topic and known >= 2 * (len(tokens) - known)) or bool(re.fullmatch(r"\W*[45]\d\d\W*", text))
+    return (len(tokens) >= 2 and known >= ALL * len(tokens)) or any(not m.isdisjoint(_TOPICS) for m in meant) or bool(BARE.fullmatch(text))
 
 
 def repeats(words: list[str]) -> bool:
@@ -209,9 +209,9 @@ FIELD_SIGNS = re.compile(r"[{}\[\]<>$%@]|__|\(\(|XX-|TODO|FIXME|TBD")
 VALUE_SIGNS = re.compile(NO_VALUE)
 
 
-def failed(text: str) -> bool:
+def failed(text: str, tokens: list[str] | None = None, meant: list[frozenset[str]] | None = None) -> bool:
     """Whether a text, of any length, is a failure from its start: what programs print, a status with its reason, or a message."""
-    return bool(OUTPUT.match(text) and not about(text)) or bool(STATUS.match(text) or CODE.match(text)) or message(text) >= COVER
+    return bool(OUTPUT.match(text) and not about(text)) or bool(STATUS.match(text) or CODE.match(text)) or message(text, tokens, meant) >= COVER
 
 
 def about(text: str) -> bool:
@@ -237,16 +237,16 @@ def evidence(line: str) -> str | None:
         return "placeholder"
     if filler(text):
         return "filler"
+    tokens = TOKEN.findall(text.lower())
+    meant = [senses(t) for t in tokens]
     if not HAN.search(text):
-        tokens = TOKEN.findall(text.lower())
-        meant = _NOTHING.union(*map(senses, tokens))
-        if meant <= _MERELY:  # no topic and no state: no message, but perhaps words alone that any has, or what programs print
+        if _MERELY.issuperset(_NOTHING.union(*meant)):  # no topic and no state: no message, but perhaps words alone that any has, or what programs print
             if OUTPUT.match(text) or STATUS.match(text) or CODE.match(text):
                 return "failure" if failed(text) else None
-            return "interim" if interim(text) else None
-    if failed(text):
+            return "interim" if interim(text, tokens, meant) else None
+    if failed(text, tokens, meant):
         return "failure"
-    clauses = CLAUSE.split(text, maxsplit=2)
+    clauses = CLAUSE.split(text, maxsplit=2) if tokens else []
     if len(clauses) > 1 and about(text[: len(clauses[0]) + len(clauses[1]) + 2]):
         return None
     if len(clauses) > 1 and (failed(clauses[0]) or filler(clauses[0])):
@@ -258,4 +258,4 @@ def evidence(line: str) -> str | None:
             known = sum(bool(senses(t)) for t in rest)
             if len(TOKEN.findall(clauses[0])) >= ENOUGH or message(clauses[1]) or (known >= (COVER + ALL) / 2 * len(rest) and _ABOUT.isdisjoint(rest)):
                 return "failure"
-    return "interim" if interim(text) else None
+    return "interim" if interim(text, tokens, meant) else None
