@@ -6,8 +6,9 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from sightline.operators.message_store import MessageStore
+from sightline.operators.message_store import MessageStore, deduplicated
 from sightline.operators.metric_spikes import HALO, STUCK, metric_spikes
 from sightline.operators.ordered import local_stats, same_run, segments, windowed
 from sightline.operators.snapshot_changes import snapshot_changes
@@ -60,12 +61,66 @@ def test_message_store(spark):
     want = brute_messages(rows)
     assert sorted(r[0] for r in store.surplus(df).collect()) == want
     before = sorted(map(tuple, store.kept().collect()))
-    assert "Exchange" not in store.kept()._jdf.queryExecution().executedPlan().toString()
+    store.compact()
+    assert sorted(map(tuple, store.kept().collect())) == before and "Exchange" not in store.kept()._jdf.queryExecution().executedPlan().toString()
     store.upsert(df.where("landing_no < 300")).compact()  # a batch once more, in another order
     assert sorted(map(tuple, store.kept().collect())) == before and sorted(r[0] for r in store.surplus(df).collect()) == want
     store.drop()
     empty = MessageStore(spark, ["dedupe_key", "reason"], "attempted_at", "landing_no", 2).upsert(df.limit(0))
     assert empty.surplus(df.limit(0)).count() == 0
+    batched = df.withColumn("batch_no", F.col("landing_no") % 9)
+    for n in (1, 4, 20):
+        assert sorted(r[0] for r in deduplicated(batched, ["dedupe_key", "reason"], "attempted_at", "landing_no", "batch_no", n).collect()) == want
+    assert deduplicated(batched.limit(0), ["dedupe_key", "reason"], "attempted_at", "landing_no", "batch_no").count() == 0
+
+
+def test_compaction_merges_sorted_runs(spark):
+    """The merge of two runs neither shuffles nor sorts: it joins them bucket by bucket as they lie."""
+    df = spark.createDataFrame([(i, f"k{i % 50}", "r", T0, "", 0, "") for i in range(200)], MSG)
+    store = MessageStore(spark, ["dedupe_key", "reason"], "attempted_at", "landing_no", 3)
+    store.upsert(df.where("landing_no < 120")).upsert(df.where("landing_no >= 80"))
+    was = spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering")
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    try:
+        merged = store.merged(*[store._table(r) for r in store.runs()])
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", was)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert sorted(r["_order"] for r in merged.collect()) == list(range(50))
+
+
+def test_store_is_found_again_and_survives_crashes(spark):
+    df = spark.createDataFrame([(i, f"k{i % 7}", "r", T0 + timedelta(seconds=-i), "", 0, "") for i in range(60)], MSG)
+    opened = lambda: MessageStore(spark, ["dedupe_key", "reason"], "attempted_at", "landing_no", 2, name="again")
+    store = opened()
+    store.upsert(df.where("landing_no < 30"))
+    for run in store.runs():  # another application has its own catalog
+        spark.sql(f"drop table {run}")
+    later = opened()
+    assert later.buckets == 2 and sorted(r["_order"] for r in later.kept().collect()) == list(range(23, 30))
+    reader = later.kept()
+    later.upsert(df.where("landing_no >= 30"))
+    want = list(range(53, 60))
+    assert sorted(r["_order"] for r in later.kept().collect()) == want
+    commit, later._commit = later._commit, lambda *_: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        later.compact()  # dies between the merge and the swap
+    assert sorted(r["_order"] for r in opened().kept().collect()) == want and len(opened().runs()) == 2
+    with pytest.raises(RuntimeError):
+        later.upsert(df)  # dies between the write and the swap
+    later._commit = commit
+    stale = later.manifest()
+    opened().upsert(df.where("landing_no = 0")).compact()
+    assert sorted(r["_order"] for r in opened().kept().collect()) == want and len(opened().runs()) == 1
+    with pytest.raises(RuntimeError):
+        later._commit(stale, [])  # somebody else was first
+    assert sorted(r["_order"] for r in reader.collect()) == list(range(23, 30))  # a reader keeps what it opened
+    opened().vacuum()
+    assert sorted(r["_order"] for r in opened().kept().collect()) == want
+    with pytest.raises(ValueError, match="key"):
+        MessageStore(spark, ["dedupe_key"], "attempted_at", "landing_no", name="again")
+    opened().drop()
 
 
 RUN = "id string, collector_name string, started_at timestamp, landed_at timestamp, candidates_found int, http_failures int, http_requests int, pages_fetched int, k string, ts long, bad string, spike int"
