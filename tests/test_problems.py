@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators.message_store import MessageStore, deduplicated
-from sightline.operators.metric_spikes import HALO, STUCK, metric_spikes
+from sightline.operators.metric_spikes import HALO, RISK, STUCK, THRESHOLD, metric_spikes, tails
 from sightline.operators.ordered import local_stats, same_run, segments, windowed
 from sightline.operators.snapshot_changes import snapshot_changes
 
@@ -191,6 +191,27 @@ def test_metric_spikes_against_brute_force(spark, partitions):
     assert metric_spikes(spark.createDataFrame([], RUN)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_cutoff_honours_the_risk_and_spikes_do_not_hide(spark, partitions):
+    """Two collectors alike in their usual runs, of which one has spikes that outnumber its other excesses: the spikes leave its cutoff where it is."""
+    rng = np.random.default_rng(11)
+    usual = rng.poisson(30, 1500) + (rng.random(1500) < 0.12) * (20 + rng.exponential(10, 1500)).astype(int)
+    spiked = usual.copy()
+    spiked[::14] = 4000
+    rows = [(f"{n}{i}", n, T0 + timedelta(minutes=30 * i), T0, int(x), 0, 9000, 50, "x", 1, "y", 0) for n, xs in (("calm", usual), ("spiky", spiked)) for i, x in enumerate(xs)]
+    rows += [("lone", "lone", T0, T0, 3, 0, 9, 9, "", 0, "", 0), ("none", "empty", T0, T0, None, None, None, None, "", 0, "", 0)]
+    df = spark.createDataFrame(rows, RUN)
+    t = {(r["collector_name"], r["series"]): r for r in tails(df, partitions).collect()}
+    calm, spiky = t["calm", "candidates_found"], t["spiky", "candidates_found"]
+    assert spiky["spikes"] == spiky["both"] == 108 and spiky["spikes"] > 0.5 * spiky["excesses"]
+    assert calm["cutoff"] > THRESHOLD and abs(spiky["cutoff"] - calm["cutoff"]) < 0.7
+    assert abs(calm["beyond_cutoff"] - calm["spikes"] - RISK * calm["runs"]) < 0.02 * calm["runs"]
+    assert t["lone", "http_failures"]["cutoff"] == THRESHOLD and t["lone", "http_failures"]["shape"] is None and len(t) == 8
+    assert tails(df.limit(0)).count() == 0
+    got = metric_spikes(df, partitions)
+    assert got.where("spike and extreme and id like 'spiky%'").count() == 108
+
+
 def test_windowed_covers_each_row_once():
     for n, chunk, part in ((5, 50, 3), (79, 60, 10), (81, 60, 7), (500, 130, 60), (1000, 10_000, 64)):
         df = pd.DataFrame({"k": np.repeat("ab", n)[:n].astype(object), "x": np.arange(n)})
