@@ -13,9 +13,6 @@ from sightline.plans.materialize import checked_broadcast, written
 #: Stretches of the ranking whose sizes are added up first, so that only the one in which the target falls is gone through text by text.
 CELLS = 1 << 16
 
-#: Texts next in rank, from where the target falls, among which those that still fit are taken.
-NEAR = 1024
-
 PLAN = "mix_name string, source string, rate double, need double"
 
 
@@ -40,40 +37,38 @@ def _rates(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """In order of rank, each text that fits into what is free; at last the one that leaves least over or short, if that is nearer than none."""
+    """In order of rank, the texts that fit into what is free, and the first that doesn't if that leaves less over than it would leave short: nothing but rank decides."""
     rows = rows.sort_values(["rank", "id"], ignore_index=True)
-    free, more = float(rows["_free"].iloc[0]), [0] * len(rows)
-    for i, t in enumerate(rows["tokens"]):
-        if t <= free:
-            free -= t
-            more[i] = 1
-    left = [(abs(t - free), i) for i, t in enumerate(rows["tokens"]) if not more[i]]
-    if left and min(left)[0] < free:
-        more[min(left)[1]] = 1
-    return rows[["mix_name", "source", "id", "tokens"]].assign(copies=rows["sure"] + more)
+    free = float(rows["_free"].iloc[0])
+    upto = rows["tokens"].to_numpy(float).cumsum()
+    n = int((upto <= free).sum())
+    if n < len(rows) and upto[n] - free < free - (upto[n - 1] if n else 0.0):
+        n += 1
+    return rows[["mix_name", "source", "id", "tokens"]].assign(copies=rows["sure"] + (rows.index < n))
 
 
 def mixed(documents: DataFrame, targets: DataFrame, seed: int = 17, total: float | None = None, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares). chosen: mix_name, source, doc_id, copies, tokens: the texts of each mix and how often each is used.
     shares: mix_name, source, target_share, reached_share, tokens, texts, most_copies, max_repeats.
 
-    Documents with equal texts are one text, of the source and id of the one with the least id, so that no repetition is hidden in copies. total is the
+    Documents with equal texts are one text, so that no repetition is hidden in copies: of the least id of those with a source, and of that one's
+    source. Where sources mirror each other, a text so counts for one of them alone, as it may be used max_repeats times in all. total is the
     size of a mix in tokens; if none is given, the largest at which no source needs more than max_repeats of all its texts. A text should be
     used in proportion to the documents that hold it, up to max_repeats: the whole part of that number is certain; texts are then ranked by
     random odds over the odds of their fractional parts (Pareto order sampling), and the first are used once more, until the source's tokens are
-    reached as nearly as its texts allow. Random numbers are hashes of text, mix and seed, so a run repeats exactly.
+    reached: the last text of the order is taken if that comes nearer, so a source is off by half a text at most, and no text is passed over for its length. Random numbers are hashes of text, mix and seed, so a run repeats exactly.
 
     A target without any text reaches 0; other sources keep their sizes. Targets with a null mix, source or share, or a share or max_repeats of 0
     or less, choose nothing; a target named twice counts as the sum of its shares and the least max_repeats. Null sources are in no mix.
 
     Plan: texts are encoded where they are read; sizes alone are shuffled. The ranking of a source isn't sorted in one task: its texts are
-    counted in CELLS stretches of rank; only the texts next to where the target falls, about NEAR, are gone through one by one.
+    counted in CELLS stretches of rank; only the texts of the stretch in which the target falls are gone through one by one.
     """
     wanted = targets.select("mix_name", folded(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
     wanted = wanted.where("mix_name is not null and source is not null and target_share > 0 and max_repeats > 0").groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
-    docs = sized(documents, tokenizer)
+    docs = sized(documents, tokenizer).where("source is not null")
     texts = docs.groupBy("key").agg(F.min(F.struct("id", "source", "tokens")).alias("one"), F.count("*").alias("held"))
-    texts = written(texts.select("key", "one.id", "one.source", "one.tokens", "held").where("source is not null"), "texts")
+    texts = written(texts.select("key", "one.id", "one.source", "one.tokens", "held"), "texts")
     by_held = texts.groupBy("source", "held").agg(F.sum("tokens").alias("tokens"))
     have = by_held.groupBy("source").agg(F.sum("tokens").alias("have"))
     goal = wanted.join(have, "source").withColumn("_most", F.col("have") * F.col("max_repeats") / F.col("target_share"))
@@ -91,18 +86,15 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 17, total: float
     use = written(use.select("mix_name", "source", "id", "key", "tokens", "sure", "rank", "cell", "need"), "uses")
     # of each source and stretch: the tokens before it
     sure = use.groupBy("mix_name", "source").agg((F.max("need") - F.sum(F.col("sure") * F.col("tokens"))).alias("_left"))
-    cells = use.where("cell is not null").groupBy("mix_name", "source", "cell").agg(F.sum("tokens").alias("_in"), F.count("*").alias("_count"))
+    cells = use.where("cell is not null").groupBy("mix_name", "source", "cell").agg(F.sum("tokens").alias("_in"))
     upto = Window.partitionBy("mix_name", "source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("mix_name", "source", "cell", "_in", F.coalesce(F.sum("_in").over(upto), F.lit(0)).alias("_before"), F.coalesce(F.sum("_count").over(upto), F.lit(0)).alias("_nth"))
+    cells = cells.select("mix_name", "source", "cell", "_in", F.coalesce(F.sum("_in").over(upto), F.lit(0)).alias("_before"))
     cells = cells.join(sure, ["mix_name", "source"]).withColumn("_room", F.col("_left") - F.col("_before"))
-    cells = written(cells.withColumn("_all", F.col("_room") >= F.col("_in")), "cells")
-    edge = cells.where("not _all and _room > 0").groupBy("mix_name", "source").agg(F.min(F.struct("cell", "_room", "_nth")).alias("e")).select("mix_name", "source", F.col("e.cell").alias("_edge"), F.col("e._room").alias("_free"), F.col("e._nth").alias("_from"))
-    near = cells.join(edge, ["mix_name", "source"]).where((F.col("cell") >= F.col("_edge")) & (F.col("_nth") <= F.col("_from") + NEAR))
-    near = near.groupBy("mix_name", "source").agg(F.max("_edge").alias("_edge"), F.max("_free").alias("_free"), F.max("cell").alias("_to"))
-    last = cells.where("_all").groupBy("mix_name", "source").agg(F.max("cell").alias("_last"))
-    marks = last.join(near, ["mix_name", "source"], "full_outer")
+    edge = F.min(F.when((F.col("_room") < F.col("_in")) & (F.col("_room") > 0), F.struct("cell", "_room")))  # the stretch in which the target falls
+    marks = cells.groupBy("mix_name", "source").agg(F.max(F.when(F.col("_room") >= F.col("_in"), F.col("cell"))).alias("_last"), edge.alias("e"))
+    marks = marks.select("mix_name", "source", "_last", F.col("e.cell").alias("_edge"), F.col("e._room").alias("_free"))
     use = use.join(checked_broadcast(written(marks, "marks"), 80), ["mix_name", "source"], "left")
-    beside = (F.col("cell") >= F.col("_edge")) & (F.col("cell") <= F.col("_to"))
+    beside = F.col("cell") == F.col("_edge")
     picked = use.where(beside).select("mix_name", "source", "id", "tokens", "sure", "rank", "_free").groupBy("mix_name", "source").applyInPandas(_fill, "mix_name string, source string, id long, tokens long, copies int")
     before = (F.col("cell") <= F.col("_last")) & F.coalesce(F.col("cell") < F.col("_edge"), F.lit(True))
     others = use.where(~F.coalesce(beside, F.lit(False))).select("mix_name", "source", "id", "tokens", (F.col("sure") + F.coalesce(before, F.lit(False)).cast("int")).cast("int").alias("copies"))

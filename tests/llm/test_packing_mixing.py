@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sightline.llm.mixing import mixed
@@ -81,3 +82,25 @@ def test_mixing_reaches_shares(spark, total):
     key = ["mix_name", "doc_id", "copies"]
     assert sorted(map(tuple, c[key].values)) == sorted(map(tuple, again[key].values))
     assert mixed(df.limit(0), targets)[0].count() == 0 and mixed(df, targets.limit(0))[1].count() == 0
+
+
+def test_text_whose_least_copy_has_no_source_is_used(spark):
+    df = spark.createDataFrame([(1, "the only text here", None), (2, "the only text here", "a"), (3, "the only text here", " A ")], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("m", "a", 1.0, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    assert [(r["doc_id"], r["copies"]) for r in mixed(df, targets)[0].collect()] == [(2, 2)]
+
+
+def test_inclusion_near_the_cut_depends_on_odds_alone():
+    """Over many seeds, short and long texts of one inclusion odds are chosen equally often."""
+    from sightline.llm.mixing import _fill
+
+    rng = np.random.default_rng(4)
+    size = np.where(np.arange(60) % 2, 20, 400)
+    chosen, seeds = np.zeros(60), 3000
+    for _ in range(seeds):
+        rows = pd.DataFrame({"mix_name": "m", "source": "s", "id": np.arange(60), "tokens": size, "sure": 0, "rank": rng.random(60), "_free": size.sum() / 2})
+        got = _fill(rows)
+        chosen[got["id"].to_numpy()] += got["copies"].to_numpy()
+        assert abs((got["tokens"] * got["copies"]).sum() - size.sum() / 2) <= 200
+    share = chosen / seeds
+    assert abs(share[::2].mean() - share[1::2].mean()) < 0.02 and abs(share.mean() - 0.5) < 0.02
