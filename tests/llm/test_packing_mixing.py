@@ -104,3 +104,43 @@ def test_inclusion_near_the_cut_depends_on_odds_alone():
         assert abs((got["tokens"] * got["copies"]).sum() - size.sum() / 2) <= 200
     share = chosen / seeds
     assert abs(share[::2].mean() - share[1::2].mean()) < 0.02 and abs(share.mean() - 0.5) < 0.02
+
+
+def test_shards_hold_the_nearest_neighbours(spark, monkeypatch):
+    """Of the ten nearest by BM25 over all documents (brute force) to those with ids divisible by 20, the share that lies in the same shard."""
+    from sightline.llm import packing as P
+
+    from sightline.llm.tokens import TOKENIZER, encoder
+
+    rng = np.random.default_rng(9)
+    tokens = [encoder(TOKENIZER).decode([i]) for i in range(2000, 12_000)]
+    tokens = rng.permutation([t for t in tokens if t.isascii() and t[:1] == " " and t[1:].isalpha() and len(t) > 4])[:2400]
+    vocabulary = tokens.reshape(40, 60)
+    rows = [(i, "".join(rng.choice(vocabulary[i * 7 % 40], 40)) + " the of and" * 3, "s") for i in range(1200)]
+    terms, times = [], []
+    for _, t, _ in rows:
+        a, b = np.unique(encoder(TOKENIZER).encode_ordinary(t), return_counts=True)
+        terms.append(a), times.append(b)
+    df = np.bincount(np.concatenate(terms), minlength=encoder(TOKENIZER).n_vocab)
+    idf = np.log1p((1200 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    length = np.array([t.sum() for t in times], float)
+    monkeypatch.setattr(P, "COMMON_LEAST", 10_000)  # brute force scores all terms
+    whole = P.Index(terms, times, length, idf, length.mean())
+    sample = [P.heavy(a, b, idf) for a, b in zip(terms, times, strict=True)][:400]
+    c = P.centroids(sample, len(idf))
+    place = pd.concat(P._weighed(iter([pd.DataFrame({"id": range(1200), "terms": terms, "times": times})]), idf, c))["place"].to_numpy()
+    shard = np.empty(1200, int)
+    shard[np.lexsort((np.arange(1200), place))] = np.arange(1200) // 400
+    found = []
+    for i in range(0, 1200, 20):
+        s = whole.scores(i)
+        s[i] = -1
+        found.append((shard[np.argsort(-s)[:10]] == shard[i]).mean())
+    assert np.mean(found) >= 0.9
+
+
+def test_carried_texts_are_placed_and_used_texts_cost_nothing():
+    size = np.array([30, 20, 20, 10] * 40)
+    told = []
+    boxes = fill(size, 100, lambda i: np.zeros(160), lambda used: told.append(int(used.sum())))
+    assert sorted(i for b in boxes for i in b) == list(range(160)) and len(told) >= 3 and told == sorted(told)
