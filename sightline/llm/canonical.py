@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.text import folded, stripped
-from sightline.plans.materialize import checked_broadcast
+from sightline.plans.materialize import BROADCAST_BYTES, written
 
 UNMATCHED = "unmatched"
-#: A learned pair of words in two scripts must be seen on so many reference rows; at most so many pairs are kept (they are the words of a brand list).
-PAIR_SUPPORT, MOST_PAIRS = 2, 20_000
-
-#: Letters and digits of the longest value that may denote a listed model.
-LONGEST = 200
+#: A learned pair of words in two scripts must be seen on so many reference rows.
+PAIR_SUPPORT = 2
+#: So many pairs, and makers, are read to the driver (they are the words of a brand list); more are an error, never dropped.
+MOST_PAIRS, MOST_MAKERS = 200_000, 100_000
 
 # Words of product pages and feeds.
 ACCESSORIES = re.compile(
@@ -133,8 +132,10 @@ def form(parts: list[str]) -> Form:
     return digits + "".join(p for p in rest if p.isdigit()), "".join(parts[:at]), "".join(p for p in rest if not p.isdigit()), alone
 
 
-def forms(value: str, words: dict[str, str], makers: frozenset[str]) -> list[Form]:
-    """How a value can be read: as it is; with digits for the letters that look like them; each also without the maker's name in front."""
+def forms(value: str, words: dict[str, str], makers: frozenset[str], longest: int | None = None) -> list[Form]:
+    """How a value can be read: as it is; with digits for the letters that look like them; each also without the maker's name in front.
+
+    longest: letters and digits of the longest listed form and one more, beyond which no reading can be within a slip of one."""
     text = cleaned(value)
     if text is None:
         return []
@@ -144,14 +145,14 @@ def forms(value: str, words: dict[str, str], makers: frozenset[str]) -> list[For
         texts.append(swapped)
     for t in texts:
         parts = tokens(t, words)
-        if not parts or sum(map(len, parts)) > LONGEST:  # no listed name is as long
+        if not parts:
             continue
         f = form(parts)
         found[f] = None
-        for maker in makers:
-            if f[1].startswith(maker) and len(f[1]) > len(maker):
-                found[(f[0], f[1][len(maker) :], f[2], f[3])] = None
-    return list(found)
+        for n in sorted({len(m) for m in makers}):
+            if n < len(f[1]) and f[1][:n] in makers:
+                found[(f[0], f[1][n:], f[2], f[3])] = None
+    return [f for f in found if longest is None or len(f[0]) + len(f[1]) + len(f[2]) <= longest]
 
 
 def deletes(digits: str, before: str, after: str) -> set[str]:
@@ -232,9 +233,9 @@ def _index(parts: Iterator[pd.DataFrame], words: dict[str, str], makers: frozens
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
 
 
-def _asked(parts: Iterator[pd.DataFrame], words: dict[str, str], makers: frozenset[str]) -> Iterator[pd.DataFrame]:
+def _asked(parts: Iterator[pd.DataFrame], words: dict[str, str], makers: frozenset[str], longest: int) -> Iterator[pd.DataFrame]:
     for p in parts:
-        rows = [(v, k, *f[:3]) for v in p["value"] for f in forms(v, words, makers) for k in deletes(*f[:3])]
+        rows = [(v, k, *f[:3]) for v in p["value"] for f in forms(v, words, makers, longest) for k in deletes(*f[:3])]
         yield pd.DataFrame(rows, columns=["value", "key", "d", "b", "a"])
 
 
@@ -263,33 +264,42 @@ def reference(validations: DataFrame, devices: DataFrame, aliases: DataFrame) ->
 
 
 def taught(listed: DataFrame) -> dict[str, str]:
-    """Words of other scripts and their Latin counterparts, from names of one model that have as many words in either script. Bounded by MOST_PAIRS."""
+    """Words of other scripts and their Latin counterparts, from names of one model that have as many words in either script. More than MOST_PAIRS are an error."""
     words = listed.select("canonical", F.split(F.regexp_replace("surface", r"\s+", " "), " ").alias("w"))
     latin = listed.where("kind = 'name'").select("canonical", F.split(F.regexp_replace("surface", r"\s+", " "), " ").alias("l"))
     pairs = words.join(latin, "canonical").where(F.size("w") == F.size("l")).select(F.explode(F.arrays_zip("w", "l")).alias("p")).select("p.w", "p.l")
     pairs = pairs.where(r"w rlike '^[^\\x00-\\x7f]+$' and l rlike '^[a-z]+$'").groupBy("w", "l").count().where(F.col("count") >= PAIR_SUPPORT)
-    best = pairs.groupBy("w").agg(F.max(F.struct("count", "l")).alias("b")).select("w", F.col("b.l").alias("l"), F.col("b.count").alias("n")).orderBy(F.desc("n"), "w").limit(MOST_PAIRS)
-    return {unicodedata.normalize("NFKC", r["w"]): r["l"] for r in best.collect()}
+    best = pairs.groupBy("w").agg(F.max(F.struct("count", "l")).alias("b")).select("w", F.col("b.l").alias("l"), F.col("b.count").alias("n"))
+    return {unicodedata.normalize("NFKC", r["w"]): r["l"] for r in bounded(best, MOST_PAIRS, "w", "pairs of words")}
+
+
+def bounded(df: DataFrame, most: int, key: str, what: str) -> list:
+    """The rows of a small table; an error if there are more than that."""
+    rows = df.orderBy(key).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
 
 
 def canonical_values(found: DataFrame, validations: DataFrame, devices: DataFrame, aliases: DataFrame, row: str = "result_id", value: str = "candidate_identifier", maker: str = "manufacturer", source: str = "source") -> DataFrame:
     """row, canonical_model: one row for each row of found whose value isn't null or blank, with the listed model that the value denotes, or `unmatched`.
 
     Values are read as digits, letters before and letters after, once coding, scripts, look-alikes, separators and added words are out of the
-    way. The list's codes, names and aliases are indexed by these with any one letter deleted; so are the values; equal keys meet in a join, in
+    way; of a value with more letters than the longest listed form and one, none can denote it. The list's codes, names and aliases are indexed by these with any one letter deleted; so are the values; equal keys meet in a join, in
     which the index is broadcast if its counted rows are small, and both sides are shuffled if not. Meetings are then judged: digits must
     agree, one slip in letters may not, and what tells models apart must. Of several models the nearest counts, then code before name before
     alias, then the maker (the row's manufacturer, or the one its source is named after), then how often the list says so; a tie that remains
     leaves the value unmatched. Distinct values are looked up once, however often they occur. Rows without a `row` value are kept.
     """
-    listed = reference(validations, devices, aliases).cache()
+    listed = written(reference(validations, devices, aliases), "listed")
     words = WORDS | taught(listed)
-    makers = frozenset(r["maker"] for r in listed.select("maker").distinct().limit(10_000).collect() if r["maker"])
-    index = listed.mapInPandas(partial(_index, words=words, makers=makers), INDEX).distinct()
+    makers = frozenset(r["maker"] for r in bounded(listed.select("maker").distinct(), MOST_MAKERS, "maker", "makers") if r["maker"])
+    index = written(listed.mapInPandas(partial(_index, words=words, makers=makers), INDEX).distinct(), "index")
+    size = index.agg(F.count("*").alias("n"), F.max(F.length(F.concat("digits", "before", "after"))).alias("longest")).first()
     rows = found.select(F.col(row).alias("_row"), F.col(value).alias("value"), folded(F.col(maker)).alias("_maker"), folded(F.col(source)).alias("_source")).where(stripped(F.col("value")) != "")
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # distinct values are few bytes and much work: AQE would put them in one task
-    asked = rows.select("value").distinct().repartition(n, "value").mapInPandas(partial(_asked, words=words, makers=makers), "value string, key string, d string, b string, a string")
-    met = asked.join(checked_broadcast(index, 120), "key").drop("key").distinct()
+    asked = rows.select("value").distinct().repartition(n, "value").mapInPandas(partial(_asked, words=words, makers=makers, longest=(size["longest"] or 0) + 1), "value string, key string, d string, b string, a string")
+    met = asked.join(F.broadcast(index) if size["n"] * 120 <= BROADCAST_BYTES else index, "key").drop("key").distinct()
     near = met.mapInPandas(_judge, "value string, canonical string, maker string, kind string, freq long, cost double")
     order = F.when(F.col("kind") == "code", 0).when(F.col("kind") == "name", 1).otherwise(2)
     by_value = Window.partitionBy("value")
