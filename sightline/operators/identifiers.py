@@ -32,83 +32,122 @@ MOST_WORDS, MOST_STOP_WORDS = 6, 1
 
 
 def rejected(candidate: Column) -> Column:
-    """Why a text can't be an identifier at all; null if nothing speaks against it. Nulls and blanks are `empty`."""
+    """Why a text can't be an identifier at all; null if nothing speaks against it. Nulls and blanks are `empty_field`."""
     text = stripped(F.coalesce(candidate, F.lit("")))
     low = F.lower(text)
     words = F.regexp_extract_all(low, F.lit(r"([a-z']+)"), F.lit(1))
     stops = F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS)))
-    c = F.when(text == "", "empty").when(F.length(text) > LONGEST, "too_long")
+    c = F.when(text == "", "empty_field").when(F.length(text) > LONGEST, "too_long")
     for reason, parts in NOT_IDENTIFIERS:
         c = c.when(has_any(low, parts), reason)
     return c.when((stops > MOST_STOP_WORDS) | (F.size(words) > MOST_WORDS), "contains_sentence")
 
 
 @dataclass(frozen=True)
-class Grammar:
-    """A maker's identifiers. accepts: patterns with the family they tell; families: names that alone name no model; begins: what an identifier begins with."""
-
-    accepts: Sequence[tuple[str, str | None]]
-    families: Sequence[str]
-    begins: Sequence[str]
-
-
-# The makers' forms.
-GRAMMARS = {
-    "google": Grammar([(r"^Pixel (?:[1-9]|1\d|20)a?(?: Pro(?: XL| Fold)?)?$", "Pixel")], ["pixel"], ["pixel"]),
-    "oneplus": Grammar([(r"^(?:CPH|PLK)\d{4}$", "OnePlus"), (r"^OnePlus (?:\d{1,2}[RT]?(?: Pro)?|Open|Nord(?: [A-Za-z0-9-]+)?)$", "OnePlus")], ["oneplus"], ["oneplus", "cph", "plk"]),
-    "nothing": Grammar([(r"^CMF Phone \d$", "CMF Phone"), (r"^Phone \(\d[a-z]?\)(?: Plus| Pro| Lite)?$", "Nothing Phone")], ["phone", "nothing", "cmf"], ["phone", "nothing", "cmf"]),
-    "xiaomi": Grammar(
-        [(r"^M\d{4}[A-Z][0-9A-Z]{1,4}$", None), (r"^Redmi(?: Note)? \d{1,2}[A-Za-z]?(?: Pro)?\+?$", "Redmi"), (r"^POCO [A-Z]\d{1,2}(?: Pro)?$", "POCO"), (r"^Xiaomi \d{1,2}[A-Za-z]?(?: Pro| Ultra| T)*$", "Xiaomi")],
-        ["redmi", "poco", "xiaomi"], ["redmi", "poco", "xiaomi", "m"],
+class Rule:
+    """One rule of a grammar: a text that `form` matches has `reason` against it, or, without a reason, is valid.
+
+    family: what a valid text's family is, or, in braces, the group of the form that tells it and how it is written. lengths: if given, the rule
+    holds only for texts shorter or longer than these two. code: the text is a code, which is normalised to capitals. brand: whose it is, if not the maker's.
+    """
+
+    form: str
+    reason: str | None = None
+    family: str | None = None
+    lengths: tuple[int, int] | None = None
+    code: bool = False
+    brand: str | None = None
+
+
+FAMILY, LENGTH, PREFIX = "family_name_without_model", "invalid_length", "invalid_prefix"
+# Words of a maker's other goods.
+PC_WORDS = (
+    "laptop", "notebook", "vivobook", "zenbook", "chromebook", "rog strix", "rog zephyrus", "tuf gaming", "motherboard", "prime ", "rog crosshair", "rog maximus", "graphics card", "geforce", "radeon", "rtx ", " gtx ",
+    "monitor", "proart display", "router", "rt-ax", "zenwifi", "mini pc", "nuc", "chromebox", "mouse", "keyboard", "headset",
+)
+# The makers' forms, in the order in which they are asked; the first that matches decides.
+GRAMMARS: dict[str, tuple[Rule, ...]] = {
+    "google": (
+        Rule("(?i)^pixel$", FAMILY), Rule(r"^Pixel (?:0?[1-9]|1[0-9]|20)a?(?: Pro(?: XL| Fold)?)?$", family="Pixel"), Rule(r"^Pixel [0-9]{1,2}a?(?: Pro(?: XL| Fold)?)?$", "invalid_generation")
     ),
-    "honor": Grammar([(r"(?i)^Honor Magic ?V?\d{1,2}(?: Pro| Ultra)?$", "Magic"), (r"(?i)^Honor \d{2,4}(?: Pro| Ultra)?$", "Honor")], ["honor", "honor magic"], ["honor"]),
-    "realme": Grammar([(r"(?i)^realme \d{1,3}(?: Pro(?: Plus)?| Ultra)?(?: 5G| 4G)?$", "realme"), (r"(?i)^realme (?:GT|Narzo|C)\s?(?:\d{1,3})?[A-Za-z]{0,3}(?: Pro)?(?: 5G)?$", "realme")], ["realme", "realme gt", "realme narzo", "realme c"], ["realme"]),
-    "motorola": Grammar([(r"(?i)^(?:Razr|Edge|Moto [GE])(?: Plus| Ultra| Play| Power| Stylus| Fold)?(?: 5G)?(?: \d{4})?(?: Gen \d)?$", "Motorola")], [], ["razr", "edge", "moto"]),
-    "oppo": Grammar([(r"(?i)^Find [XN]\d{1,3}(?: Pro| Ultra| Max| Flip| F)?(?: 5G| 4G)?$", "Find"), (r"(?i)^(?:Reno|A)\d{1,3}(?: Pro| Ultra| Max| Flip| F)?(?: 5G| 4G)?$", "Reno")], ["find", "find x", "find n", "reno", "a"], ["find", "reno", "oppo a"]),
-    "vivo": Grammar([(r"(?i)^[VXYS]\d{1,3}[A-Z]{0,2}(?: Pro| Ultra| Plus)?(?: 5G)?$", "vivo")], ["v", "x", "y", "s"], ["v", "x", "y", "s"]),
-    "asus": Grammar([(r"(?i)^(?:Zenfone|ROG Phone) \d{1,2}(?: Pro| Ultra)?$", "Zenfone")], ["zenfone", "rog phone"], ["zenfone", "rog"]),
+    "oneplus": (
+        Rule("^(?:CPH|PLK)[0-9]{4}$", family="OnePlus", code=True), Rule("^(?:CPH|PLK)[0-9]+$", LENGTH), Rule("(?i)^oneplus$", FAMILY), Rule(r"^OnePlus (?:[0-9]{1,2}[RT]?(?: Pro)?|Open|Nord(?: [A-Za-z0-9-]+)?)$", family="OnePlus"),
+    ),
+    "nothing": (Rule(r"^CMF Phone [0-9]$", family="CMF Phone", brand="cmf"), Rule(r"^Phone \([0-9][a-z]?\)(?: Plus| Pro| Lite)?$", family="Nothing Phone"), Rule("(?i)^(?:phone|nothing|cmf)$", FAMILY)),
+    "xiaomi": (
+        Rule("(?i)^(?:redmi|poco|xiaomi)$", FAMILY), Rule("^M[0-9]{4}[A-Z][0-9A-Z]{1,4}$", code=True), Rule(r"(?i)^m[\p{L}\p{N} ]+$", LENGTH, lengths=(8, 12)), Rule(r"^Redmi(?: Note)? [0-9]{1,2}[A-Za-z]?(?: Pro)?\+?$", family="Redmi", brand="redmi"),
+        Rule(r"^POCO [A-Z][0-9]{1,2}(?: Pro)?$", family="POCO", brand="poco"), Rule(r"^Xiaomi [0-9]{1,2}[A-Za-z]?(?: Pro| Ultra| T)*$", family="Xiaomi"),
+    ),
+    "honor": (Rule("(?i)^honor$", FAMILY), Rule(r"(?i)^Honor Magic ?V?[0-9]{1,2}(?: Pro| Ultra)?$", family="Magic"), Rule(r"(?i)^Honor [0-9]{2,4}(?: Pro| Ultra)?$", family="Numbered")),
+    "realme": (Rule("(?i)^realme$", FAMILY), Rule(r"(?i)^realme [0-9]{1,3}(?: Pro(?: Plus)?| Ultra)?(?: 5G| 4G)?$", family="numbered"), Rule(r"(?i)^realme (?:GT|Narzo|C)\s?(?:[0-9]{1,3})?[A-Za-z]{0,3}(?: Pro)?(?: 5G)?$", family="named-series")),
+    "motorola": (Rule(r"(?i)^(Razr|Edge|Moto G|Moto E)(?: Plus| Ultra| Play| Power| Stylus| Fold)?(?: 5G)?(?: [0-9]{4})?(?: Gen [0-9])?$", family="{title}"),),
+    "oppo": (Rule("(?i)^(?:find|find x|find n|reno|a)$", FAMILY), Rule(r"(?i)^(Find X|Find N|Reno|A)[0-9]{1,3}(?: Pro| Ultra| Max| Flip| F)?(?: 5G| 4G)?$", family="{title}")),
+    "vivo": (Rule("(?i)^iqoo", "iqoo_not_vivo"), Rule("(?i)^[vxys]$", FAMILY), Rule(r"(?i)^([VXYS])[0-9]{1,3}(?:[A-Z]{1,2})?(?: Pro| Ultra| Plus)?(?: 5G)?$", family="{upper}-series", code=True)),
+    "asus": (Rule("(?i)(?:" + "|".join(PC_WORDS) + ")", "pc_hardware"), Rule("(?i)^(?:zenfone|rog phone|rog)$", FAMILY), Rule(r"(?i)^(Zenfone|ROG Phone) [0-9]{1,2}(?: Pro| Ultra)?$", family="{title}")),
 }
+# What a maker's identifiers begin with, and the name of those that do and match no form.
+BEGINS = {"google": ("pixel",), "oneplus": ("oneplus",), "nothing": ("phone", "cmf", "nothing"), "xiaomi": ("redmi", "poco", "xiaomi", "m"), "honor": ("honor",), "realme": ("realme",), "motorola": ("razr", "edge", "moto"), "oppo": ("find", "reno", "oppo a"), "vivo": ("v", "x", "y", "s"), "asus": ("zenfone", "rog phone")}
+OPEN_NAMES = {"google": "pixel"}
+SUPPORTED = "samsung google oneplus nothing xiaomi redmi poco honor realme motorola oppo vivo asus".split()
+
 
+def rules_of(maker: str) -> list[Rule]:
+    """A maker's rules with the last two: what begins otherwise, and what is left open."""
+    own = GRAMMARS[maker]
+    begin = "|".join(BEGINS[maker])
+    return [*own, Rule(f"(?i)^(?:{begin})", f"unrecognized_{OPEN_NAMES.get(maker, maker)}_format"), Rule("", PREFIX)]
 
-def validated(candidate: Column, grammar: Grammar, why: Column | None = None) -> Column:
-    """outcome (VALID, INVALID or AMBIGUOUS), reason and family: what speaks against it first, then families alone, then the accepted forms, then how it begins.
 
-    why: rejected(candidate), where it is there already."""
+def outcome_of(r: Rule) -> str:
+    return "VALID" if r.reason is None else "AMBIGUOUS" if r.reason.startswith("unrecognized_") else "INVALID"
+
+
+def _family(text: Column, r: Rule) -> Column:
+    if r.family is None or not r.family.startswith("{"):
+        return F.lit(r.family).cast("string")
+    told = F.regexp_extract(text, r.form, 1)
+    how, rest = r.family[1:].split("}")
+    return F.concat(F.initcap(F.lower(told)) if how == "title" else F.upper(told), F.lit(rest))
+
+
+def validated(candidate: Column, maker: str, why: Column | None = None) -> Column:
+    """outcome (VALID, INVALID or AMBIGUOUS), reason, family, normalized and brand of a text by a maker's grammar: what speaks against any identifier first, then the maker's rules in order.
+
+    why: rejected(candidate), where it is there already. A null or blank text is INVALID, empty_field."""
     text = stripped(F.coalesce(candidate, F.lit("")))
-    low = F.lower(text)
-    known, family = F.lit(False), F.lit(None).cast("string")
-    for pattern, name in reversed(grammar.accepts):
-        known = known | text.rlike(pattern)
-        family = F.when(text.rlike(pattern), F.lit(name)).otherwise(family)
-    begins = F.lit(False)
-    for b in grammar.begins:
-        begins = begins | low.startswith(b)
     why = rejected(candidate) if why is None else why
-    reason = F.when(why.isNotNull(), why).when(low.isin(*grammar.families), "family_name_without_model").when(known, F.lit(None)).when(~begins, "invalid_prefix").otherwise("unrecognized_format")
-    outcome = F.when(reason.isNull(), "VALID").when(reason == "unrecognized_format", "AMBIGUOUS").otherwise("INVALID")
-    return F.struct(outcome.alias("outcome"), reason.alias("reason"), F.when(outcome == "VALID", family).alias("family"))
+    at = F.when(why.isNotNull(), F.lit(-1))
+    rules = rules_of(maker)
+    for n, r in enumerate(rules):
+        fits = text.rlike(r.form) if r.form else F.lit(True)
+        if r.lengths:
+            fits = fits & ((F.length(text) < r.lengths[0]) | (F.length(text) > r.lengths[1]))
+        at = at.when(fits, F.lit(n))
+
+    def by(value) -> Column:
+        c = F.when(at == -1, F.lit(None).cast("string"))
+        for n, r in enumerate(rules):
+            c = c.when(at == n, value(r))
+        return c
+
+    valid = [n for n, r in enumerate(rules) if r.reason is None]
+    return F.struct(
+        F.coalesce(by(lambda r: F.lit(outcome_of(r))), F.lit("INVALID")).alias("outcome"), F.when(at == -1, why).otherwise(by(lambda r: F.lit(r.reason).cast("string"))).alias("reason"),
+        by(lambda r: _family(text, r) if r.reason is None else F.lit(None).cast("string")).alias("family"),
+        F.when(at.isin(*valid), by(lambda r: F.upper(text) if r.code else text)).alias("normalized"), F.when(at.isin(*valid), by(lambda r: F.lit(r.brand or maker))).alias("brand"),
+    )
 
 
 def validated_by_maker(df: DataFrame, candidate: str, maker: str) -> DataFrame:
-    """Adds `validation` by the grammar of each row's maker; a maker without one gives INVALID, unknown_manufacturer."""
-    text, low, at = stripped(F.coalesce(F.col(candidate), F.lit(""))), F.col("_low"), F.lower(F.col(maker))
-    df = df.withColumn("_why", rejected(F.col(candidate))).withColumn("_text", text).withColumn("_low", F.lower("_text"))
-    families = begins = known = F.lit(False)
-    family = F.lit(None).cast("string")
-    for name, g in GRAMMARS.items():  # one condition for each rule, of which at most those of the row's maker are tried
-        mine = at == name
-        families = families | (mine & low.isin(*g.families))
-        for b in g.begins:
-            begins = begins | (mine & low.startswith(b))
-        for pattern, told in reversed(g.accepts):
-            known = known | (mine & F.col("_text").rlike(pattern))
-            family = F.when(mine & F.col("_text").rlike(pattern), F.lit(told)).otherwise(family)
-    df = df.withColumn("_known", known).withColumn("_family", family).withColumn("_bare", families).withColumn("_begins", begins)
-    reason = F.when(at.isNull() | ~at.isin(*GRAMMARS), "unknown_manufacturer").when(F.col("_why").isNotNull(), F.col("_why")).when(F.col("_bare"), "family_name_without_model").when(F.col("_known"), F.lit(None)).when(~F.col("_begins"), "invalid_prefix").otherwise("unrecognized_format")
-    df = df.withColumn("_reason", reason)
-    outcome = F.when(F.col("_reason").isNull(), "VALID").when(F.col("_reason") == "unrecognized_format", "AMBIGUOUS").otherwise("INVALID")
-    validation = F.struct(outcome.alias("outcome"), F.col("_reason").alias("reason"), F.when(F.col("_reason").isNull(), F.col("_family")).alias("family"))
-    return df.withColumn("validation", validation).drop("_why", "_text", "_low", "_known", "_family", "_bare", "_begins", "_reason")
+    """Adds `validation` by the grammar of each row's maker; a maker without one gives INVALID, unknown_manufacturer. A valid text of a brand that isn't SUPPORTED has `bridged` false."""
+    df = df.withColumn("_why", rejected(F.col(candidate)))
+    at = F.lower(F.col(maker))
+    none = F.lit(None).cast("string")
+    unknown = F.struct(F.lit("INVALID").alias("outcome"), F.lit("unknown_manufacturer").alias("reason"), none.alias("family"), none.alias("normalized"), none.alias("brand"))
+    c = F.when(at.isNull(), unknown)
+    for name in GRAMMARS:  # one branch for each maker, of which a row's own alone is gone through
+        c = c.when(at == name, validated(F.col(candidate), name, F.col("_why")))
+    return df.withColumn("validation", c.otherwise(unknown)).withColumn("bridged", (F.col("validation.outcome") == "VALID") & F.col("validation.brand").isin(*SUPPORTED)).drop("_why")
 
 
 # The letter after SM- and what it stands for, and what the letters behind the digits tell.
@@ -138,12 +177,82 @@ def samsung_model(raw: Column) -> Column:
     )
 
 
-def slug_name(slug: Column, maker: str) -> Column:
-    """A product page's slug as a name: words capitalised, numbers glued to series words apart, the maker's repeated name, 5G and years left out."""
-    words = F.split(F.regexp_replace(F.lower(slug), r"(?<=[a-z]{2})(?=\d)", "-"), r"[-_+\s]+")
-    kept = F.filter(words, lambda w: ~w.isin("", "5g", "4g", maker) & ~w.rlike(r"^20\d{2}$"))
-    title = F.transform(kept, lambda w: F.when(w.isin("xl", "fe", "gt", "se"), F.upper(w)).otherwise(F.initcap(w)))
-    return F.array_join(F.concat(F.array(F.initcap(F.lit(maker))), title), " ")
+# Pages of a shop that are no model's, and how families are written.
+NO_PRODUCTS = (
+    "store support blog legal press customer brand sustainability trade-in rcc redcoins-center affiliate-program accessibility oxygenos12 oxygenos13 oxygenos14 oxygenos15 store-app featuring sitemap jcart retail discount "
+    "power-of-community trade-in-rule redcoins-shop"
+).split()
+NO_PRODUCT_PARTS = ("keyboard", "case", "cover", "screen-protector", "charger", "buds", "watch", "band")
+OPPO_FAMILIES = {"find-x": ("Find X", "x"), "find-n": ("Find N", "n"), "reno": ("Reno", "reno"), "a": ("A", "a")}
+MOTO_FAMILIES = {"razr": "Razr", "moto-g": "Moto G", "motorola-edge": "Edge", "moto-e": "Moto E"}
+
+
+def _words(tokens: Column, kept: tuple[str, ...] = ("5g", "4g")) -> Column:
+    """Tokens as words: those kept in capitals, else with a capital first letter, joined by spaces."""
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.isin(*kept), F.upper(t)).otherwise(F.initcap(t))), " ")
+
+
+def _tail(tokens: Column, start: int) -> Column:
+    return F.slice(tokens, start, F.greatest(F.size(tokens) - (start - 1), F.lit(0)))
+
+
+def _spaced(head: Column, tail: Column) -> Column:
+    return F.when(tail == "", head).otherwise(F.concat(head, F.lit(" "), tail))
+
+
+def slug_name(slug: Column, maker: str, family: Column | None = None) -> Column:
+    """The name of the model that a maker's page is about, by its address's last part (slug); null for what is no model's page. family: the part before it, for makers whose addresses have one."""
+    low = F.lower(slug)
+    none = F.lit(None).cast("string")
+    if maker == "google":
+        rest = F.split(low, "_")
+        pro = F.get(rest, F.lit(2)) == "pro"
+        last = F.get(rest, F.lit(3))
+        more = F.when(pro & (last == "xl"), " Pro XL").when(pro & (last == "fold"), " Pro Fold").when(pro, " Pro").otherwise("")
+        return F.when(low.startswith("pixel_"), F.concat(F.lit("Pixel "), rest[1], more))
+    if maker == "oneplus":
+        low = F.regexp_replace(low, "^/+|/+$", "")
+        body = F.regexp_replace(low, "^oneplus-", "")
+        form = "^([0-9]{1,2})(r|t)?(-pro)?$"
+        name = F.concat(F.lit("OnePlus "), F.regexp_extract(body, form, 1), F.upper(F.regexp_extract(body, form, 2)), F.when(body.endswith("-pro"), " Pro").otherwise(""))
+        return (
+            F.when((low == "") | low.isin(*NO_PRODUCTS) | has_any(low, NO_PRODUCT_PARTS), none).when(low.isin("open", "oneplus-open"), "OnePlus Open")
+            .when(body.rlike("^n[0-9]"), F.concat(F.lit("OnePlus Nord "), F.upper(F.substring(body, 2, 1 << 20)))).when(body.rlike(form), name).when(low.isNotNull(), F.concat(F.lit("OnePlus "), body))
+        )
+    if maker == "nothing":
+        number = F.regexp_extract(low, "^phone-([0-9][^-]*)", 1)
+        second = F.regexp_extract(low, "^phone-[^-]*-([^-]*)", 1)
+        return F.when(low.rlike("^cmf-phone-[0-9]+$"), F.concat(F.lit("CMF Phone "), F.substring(low, 11, 1 << 20))).when(number != "", F.concat(F.lit("Phone ("), number, F.lit(")"), F.when(second.isin("plus", "pro", "lite"), F.concat(F.lit(" "), F.initcap(second))).otherwise("")))
+    tokens = F.split(low if maker == "xiaomi" else slug, "-")
+    if maker == "xiaomi":
+        note = (tokens[0] == "redmi") & (F.get(tokens, F.lit(1)) == "note")
+        rest = F.when(note, _tail(tokens, 3)).otherwise(_tail(tokens, 2))
+        first, tail = F.get(rest, F.lit(0)), _tail(rest, 2)
+        extras = F.array_join(F.transform(F.filter(tail, lambda t: t.isin("pro", "ultra", "t")), F.initcap), " ")
+        redmi = F.concat(F.when(note, "Redmi Note ").otherwise("Redmi "), first, F.when(F.array_contains(tail, "pro"), " Pro").otherwise(""), F.when(F.array_contains(tail, "plus"), "+").otherwise(""))
+        poco = F.concat(F.lit("POCO "), F.upper(first), F.when(F.get(tail, F.lit(0)) == "pro", " Pro").otherwise(""))
+        return F.when(~F.coalesce(first.rlike("[0-9]"), F.lit(False)), none).when(tokens[0] == "redmi", redmi).when(tokens[0] == "poco", poco).when(tokens[0] == "xiaomi", _spaced(F.concat(F.lit("Xiaomi "), first), extras))
+    if maker == "honor":
+        name = _spaced(F.lit("Honor"), _words(_tail(tokens, 2), ()))
+        name = F.regexp_replace(F.regexp_replace(name, r"\bMagic V([0-9]+)\b", "Magic v$1"), r"\bV ([0-9]+)", "V$1")  # a glued v stays as it is behind Magic
+        return F.when(tokens[0] == "honor", name)
+    if maker == "realme":
+        tokens = F.split(F.regexp_replace(F.substring(slug, 8, 1 << 20), "^(gt|narzo|c)([0-9]+)(?=-|$)", "$1-$2"), "-")
+        return F.when(slug.startswith("realme-") & (F.length(slug) > 7), F.concat(F.lit("realme "), _words(tokens, ("5g", "4g", "gt"))))
+    if maker == "oppo" and family is not None:
+        c = F.when(F.lit(False), none)
+        for segment, (shown, letter) in OPPO_FAMILIES.items():
+            own = F.split(F.regexp_replace(slug, "^find-", "") if segment.startswith("find-") else slug, "-")
+            number = F.regexp_extract(own[0], f"^{letter}([0-9].*)$", 1)
+            c = c.when((family == segment) & (number != ""), _spaced(F.concat(F.lit(shown), number), _words(_tail(own, 2))))
+        return c
+    if maker == "motorola" and family is not None:
+        c = F.when(F.lit(False), none)
+        for segment, shown in MOTO_FAMILIES.items():
+            own = F.regexp_replace(slug, f"^{segment}(?:-|$)", "")
+            c = c.when(family == segment, F.when(own == "", F.lit(shown)).otherwise(F.concat(F.lit(shown + " "), _words(F.split(own, "-"), ("5g",)))))
+        return c
+    return none
 
 
 def find_models(text: Column) -> Column:

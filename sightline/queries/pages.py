@@ -92,7 +92,7 @@ def q63_all_model_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS_SQL = "'" + "', '".join(I.STOP_WORDS) + "'"
 REJECT_SQL = (
-    "case when t = '' then 'empty' when length(t) > 40 then 'too_long' "
+    "case when t = '' then 'empty_field' when length(t) > 40 then 'too_long' "
     + " ".join(f"when {' or '.join(f'contains(lower(t), $${w}$$)' for w in words)} then '{reason}'" for reason, words in I.NOT_IDENTIFIERS)
     + rf" when len(list_filter(regexp_extract_all(lower(t), '([a-z'']+)', 1), lambda w: w in ({WORDS_SQL}))) > 1 or len(regexp_extract_all(lower(t), '([a-z'']+)', 1)) > 6 then 'contains_sentence' end"
 )
@@ -105,11 +105,57 @@ def q41_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("reason is not null").groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
-@PAGES.add()
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _rule_sql(maker: str) -> str:
+    """The number of the first rule of a maker's grammar that holds for the text t."""
+    whens = [f"when {f'regexp_matches(t, {_quoted(r.form)})' if r.form else 'true'}{f' and (length(t) < {r.lengths[0]} or length(t) > {r.lengths[1]})' if r.lengths else ''} then {n}" for n, r in enumerate(I.rules_of(maker))]
+    return f"case {' '.join(whens)} end"
+
+
+def _by_rule_sql(value) -> str:
+    return "case " + " ".join(f"when m = '{maker}' and n = {n} then {value(r)}" for maker in I.GRAMMARS for n, r in enumerate(I.rules_of(maker))) + " end"
+
+
+def _family_sql(r) -> str:
+    if r.reason or not r.family:
+        return "null"
+    if not r.family.startswith("{"):
+        return f"'{r.family}'"
+    told = f"regexp_extract(t, {_quoted(r.form)}, 1)"
+    return f"upper({told}) || '-series'" if r.family.startswith("{upper") else f"array_to_string(list_transform(string_split(lower({told}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
+GRAMMAR_SQL = (
+    "with d as (select manufacturer, lower(manufacturer) m, trim(coalesce(candidate_identifier, '')) t from discovery_results), "
+    f"w as (select *, {REJECT_SQL} why from d), "
+    f"r as (select *, case {' '.join(f'when m = $${k}$$ then {_rule_sql(k)}' for k in I.GRAMMARS)} end n from w), "
+    f"o as (select manufacturer, case when n is null then 'unknown_manufacturer' when why is not null then why else {_by_rule_sql(lambda r: f'$${r.reason}$$' if r.reason else 'null')} end reason, case when n is not null and why is null then {_by_rule_sql(_family_sql)} end family from r) "
+)
+
+
+@PAGES.add(
+    GRAMMAR_SQL + "select manufacturer, case when reason is null then 'VALID' when starts_with(reason, 'unrecognized_') then 'AMBIGUOUS' else 'INVALID' end outcome, reason, family, count(*) n from o group by 1, 2, 3, 4"
+)
 def q42_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of the makers' grammars on all sightings."""
     d = I.validated_by_maker(table(spark, sf_dir, "discovery_results", "candidate_identifier", "manufacturer"), "candidate_identifier", "manufacturer")
-    return d.groupBy("manufacturer", F.col("validation.outcome").alias("outcome"), F.col("validation.reason").alias("reason")).agg(F.count("*").alias("n"))
+    return d.groupBy("manufacturer", F.col("validation.outcome").alias("outcome"), F.col("validation.reason").alias("reason"), F.col("validation.family").alias("family")).agg(F.count("*").alias("n"))
+
+
+@PAGES.add()
+def q64_slug_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model that each page of a maker is about, by the last part of its address."""
+    s = table(spark, sf_dir, "snapshots", "url", "manufacturer").where("url is not null and manufacturer is not null").select(F.lower("manufacturer").alias("maker"), normal_url(F.col("url")).alias("url")).distinct()
+    s = s.withColumn("slug", F.regexp_replace(F.regexp_extract("url", r"/([^/?#]+)(?:[?#].*)?$", 1), "-[0-9a-f]{4,}$", ""))
+    family = F.when(F.col("maker") == "oppo", F.regexp_extract("slug", "^(?:oppo-)?(find-[xn]|reno|a)(?=[0-9])", 1)).otherwise(F.regexp_extract("slug", "^(razr|moto-g|moto-e|motorola-edge)", 1))
+    c = F.lit(None).cast("string")
+    for maker in ("google", "oneplus", "nothing", "xiaomi", "honor", "realme", "oppo", "motorola"):
+        slug = F.translate("slug", "-", "_") if maker == "google" else F.col("slug")
+        c = F.when(F.col("maker") == maker, I.slug_name(slug, maker, family)).otherwise(c)
+    return s.select("maker", "slug", c.alias("name")).where("slug <> ''").groupBy("maker", "slug", "name").agg(F.count("*").alias("pages"))
 
 
 @PAGES.add(

@@ -98,17 +98,17 @@ def test_evidence_dedup_against_fold(spark):
 
 @pytest.mark.parametrize(
     ("maker", "text", "outcome"),
-    [("google", "Pixel 10 Pro XL", "VALID"), ("google", "Pixel 21", "AMBIGUOUS"), ("google", "pixel", "INVALID"), ("google", "Galaxy S25", "INVALID"), ("oneplus", "CPH2653", "VALID"), ("oneplus", "CPH26531", "AMBIGUOUS"), ("nothing", "Phone (3a) Pro", "VALID"), ("xiaomi", "Redmi Note 14 Pro", "VALID"), ("honor", "honor magic 7 pro", "VALID"), ("realme", "realme GT 7 Pro", "VALID"), ("asus", "Zenfone 12 Ultra", "VALID"), ("motorola", "moto g power 5G 2025", "VALID"), ("motorola", "Moto Z", "AMBIGUOUS"), ("oppo", "Find X8 Ultra", "VALID"), ("oppo", "reno", "INVALID"), ("vivo", "X200 Pro", "VALID"), ("vivo", "iQOO 13", "INVALID"), ("google", "Accept all cookies", "INVALID"), ("google", None, "INVALID"), ("nobody", "X 1", "INVALID"), (None, "X 1", "INVALID")],
+    [("google", "Pixel 10 Pro XL", "VALID"), ("google", "Pixel 21", "INVALID"), ("google", "pixel", "INVALID"), ("google", "Galaxy S25", "INVALID"), ("oneplus", "CPH2653", "VALID"), ("oneplus", "CPH26531", "INVALID"), ("nothing", "Phone (3a) Pro", "VALID"), ("xiaomi", "Redmi Note 14 Pro", "VALID"), ("honor", "honor magic 7 pro", "VALID"), ("realme", "realme GT 7 Pro", "VALID"), ("asus", "Zenfone 12 Ultra", "VALID"), ("motorola", "moto g power 5G 2025", "VALID"), ("motorola", "Moto Z", "AMBIGUOUS"), ("oppo", "Find X8 Ultra", "VALID"), ("oppo", "reno", "INVALID"), ("vivo", "X200 Pro", "VALID"), ("vivo", "iQOO 13", "INVALID"), ("google", "Accept all cookies", "INVALID"), ("google", None, "INVALID"), ("nobody", "X 1", "INVALID"), (None, "X 1", "INVALID")],
 )
 def test_grammars(spark, maker, text, outcome):
     df = spark.createDataFrame([(maker, text)], "m string, c string")
     assert I.validated_by_maker(df, "c", "m").first()["validation"]["outcome"] == outcome
     if maker in I.GRAMMARS:
-        assert one(spark, I.validated(F.col("c").cast("string"), I.GRAMMARS[maker]), c=text)["outcome"] == outcome
+        assert one(spark, I.validated(F.col("c").cast("string"), maker), c=text)["outcome"] == outcome
 
 
 def test_rejections(spark):
-    for text, want in (("", "empty"), ("x" * 41, "too_long"), ("Galaxy Watch 7", "watch_not_phone"), ("the best phone for you", "contains_sentence"), ("SM-S928B", None)):
+    for text, want in (("", "empty_field"), ("x" * 41, "too_long"), ("Galaxy Watch 7", "watch_not_phone"), ("the best phone for you", "contains_sentence"), ("SM-S928B", None)):
         assert one(spark, I.rejected(F.col("c")), c=text) == want
 
 
@@ -117,7 +117,38 @@ def test_samsung(spark):
     assert (m["canonical"], m["category"], m["region"], m["family_key"]) == ("SM-S957B", "smartphone", "global_or_india", "SMS957")
     assert one(spark, I.samsung_model(F.col("c")), c="SM-S928U1")["region"] == "usa_unlocked" and one(spark, I.samsung_model(F.col("c")), c="SM-R960")["reason"] == "excluded_category:smartwatch"
     assert one(spark, I.find_models(F.col("c")), c="sm-a156b, SM-A156B and SM-F956U") == ["SM-A156B", "SM-F956U"]
-    assert one(spark, I.slug_name(F.col("c"), "realme"), c="realme-gt7-pro-5g") == "Realme GT 7 Pro" and one(spark, I.slug_name(F.col("c"), "honor"), c="honor-magic-2024-v3") == "Honor Magic V3"
+
+
+def test_reasons_and_families(spark):
+    cases = [
+        ("xiaomi", "M2007J3SY00000000", "INVALID", "invalid_length", None), ("xiaomi", "M2007J3SY", "VALID", None, None), ("xiaomi", "M2", "INVALID", "invalid_length", None), ("xiaomi", "M2007-3SYX", "AMBIGUOUS", "unrecognized_xiaomi_format", None), ("xiaomi", "poco f6", "AMBIGUOUS", "unrecognized_xiaomi_format", None), ("xiaomi", "POCO F6 Pro", "VALID", None, "POCO"),
+        ("vivo", "iQOO 12", "INVALID", "iqoo_not_vivo", None), ("vivo", "x200 pro", "VALID", None, "X-series"), ("vivo", "V", "INVALID", "family_name_without_model", None), ("vivo", "Xplay", "AMBIGUOUS", "unrecognized_vivo_format", None),
+        ("asus", "ROG Strix G16", "INVALID", "pc_hardware", None), ("asus", "ROG Phone 8", "VALID", None, "Rog Phone"), ("asus", "ROG", "INVALID", "family_name_without_model", None), ("asus", "ROG Ally", "INVALID", "invalid_prefix", None), ("asus", "Zenfone 12 Ultra", "VALID", None, "Zenfone"),
+        ("oppo", "A5 Pro", "VALID", None, "A"), ("oppo", "Find X8", "VALID", None, "Find X"), ("oppo", "find n5 flip 5g", "VALID", None, "Find N"), ("oppo", "Reno13 Pro", "VALID", None, "Reno"), ("oppo", "Find X", "INVALID", "family_name_without_model", None),
+        ("honor", "Honor 600 Pro", "VALID", None, "Numbered"), ("honor", "Honor Magic", "AMBIGUOUS", "unrecognized_honor_format", None), ("realme", "realme narzo 80x 5G", "VALID", None, "named-series"), ("motorola", "moto g power 5G 2025", "VALID", None, "Moto G"), ("google", "Pixel 0", "INVALID", "invalid_generation", None),
+        ("google", "Pixel Nova", "AMBIGUOUS", "unrecognized_pixel_format", None), ("nothing", "CMF Phone 2", "VALID", None, "CMF Phone"), ("oneplus", "PLK12", "INVALID", "invalid_length", None), ("oneplus", " ", "INVALID", "empty_field", None),
+    ]
+    df = spark.createDataFrame([(m, t) for m, t, *_ in cases], "m string, c string")
+    got = [(r["m"], r["c"], r["validation"]["outcome"], r["validation"]["reason"], r["validation"]["family"]) for r in I.validated_by_maker(df, "c", "m").collect()]
+    assert got == cases
+    rows = {r["c"]: r for r in I.validated_by_maker(df, "c", "m").collect()}
+    assert rows["CMF Phone 2"]["validation"]["brand"] == "cmf" and not rows["CMF Phone 2"]["bridged"] and rows["x200 pro"]["validation"]["normalized"] == "X200 PRO" and rows["POCO F6 Pro"]["bridged"]
+
+
+@pytest.mark.parametrize(
+    ("maker", "family", "slug", "name"),
+    [
+        ("xiaomi", None, "redmi-note-13-pro-plus", "Redmi Note 13 Pro+"), ("xiaomi", None, "poco-f6", "POCO F6"), ("xiaomi", None, "poco-x7-pro", "POCO X7 Pro"), ("xiaomi", None, "Xiaomi-14t-pro", "Xiaomi 14t Pro"), ("xiaomi", None, "xiaomi-15-ultra", "Xiaomi 15 Ultra"), ("xiaomi", None, "redmi-note", None), ("xiaomi", None, "redmi", None), ("xiaomi", None, "smart-band-9", None),
+        ("oppo", "a", "a5-pro-5g", "A5 Pro 5G"), ("oppo", "reno", "reno", None), ("oppo", "find-x", "find-x8-pro", "Find X8 Pro"), ("oppo", "find-n", "find-n5", "Find N5"), ("oppo", "reno", "reno13-pro", "Reno13 Pro"), ("oppo", "pad", "pad-3", None),
+        ("realme", None, "realme-gt7-pro-5g", "realme GT 7 Pro 5G"), ("realme", None, "realme-12-pro-plus", "realme 12 Pro Plus"), ("realme", None, "realme-", None), ("realme", None, "buds-air", None), ("honor", None, "honor-magic-v-6", "Honor Magic V6"), ("honor", None, "honor-600-pro", "Honor 600 Pro"), ("honor", None, "magic-6", None),
+        ("motorola", "razr", "razr-plus-gen-2", "Razr Plus Gen 2"), ("motorola", "moto-g", "moto-g-power-2026", "Moto G Power 2026"), ("motorola", "moto-g", "g-stylus-5g-gen-4", "Moto G G Stylus 5G Gen 4"), ("motorola", "razr", "razr", "Razr"), ("motorola", "tablet", "tab-1", None),
+        ("google", None, "pixel_9_pro_xl", "Pixel 9 Pro XL"), ("google", None, "pixel_9a", "Pixel 9a"), ("google", None, "pixel_9_pro_fold", "Pixel 9 Pro Fold"), ("google", None, "nest_hub", None), ("oneplus", None, "oneplus-13r", "OnePlus 13R"), ("oneplus", None, "n30-5g", "OnePlus Nord 30-5G"), ("oneplus", None, "open", "OnePlus Open"), ("oneplus", None, "support", None), ("oneplus", None, "13-case", None), ("oneplus", None, "12-pro", "OnePlus 12 Pro"),
+        ("nothing", None, "phone-3a-pro", "Phone (3a) Pro"), ("nothing", None, "cmf-phone-2", "CMF Phone 2"), ("nothing", None, "cmf-phone-pro", None), ("nothing", None, "ear-a", None), ("xiaomi", None, None, None),
+    ],
+)
+def test_slug_names(spark, maker, family, slug, name):
+    df = spark.createDataFrame([(slug, family)], "s string, f string")
+    assert df.select(I.slug_name(F.col("s"), maker, F.col("f") if family else None)).first()[0] == name
 
 
 A = '<html><head><title>Alpha</title></head><body><script>x</script><h1>SM-A156B</h1><a href="/m/guide.pdf?utm_source=1">Manual</a><img src="/hero/phone.png?x=1" alt="phone"><p>one</p></body></html>'
