@@ -98,56 +98,50 @@ def rules_of(maker: str) -> list[Rule]:
     return [*own, Rule(f"(?i)^(?:{begin})", f"unrecognized_{OPEN_NAMES.get(maker, maker)}_format"), Rule("", PREFIX)]
 
 
-def outcome_of(r: Rule) -> str:
-    return "VALID" if r.reason is None else "AMBIGUOUS" if r.reason.startswith("unrecognized_") else "INVALID"
+#: All rules of all makers, by number.
+NUMBERED = [(maker, r) for maker in GRAMMARS for r in rules_of(maker)]
 
 
-def _family(text: Column, r: Rule) -> Column:
-    if r.family is None or not r.family.startswith("{"):
-        return F.lit(r.family).cast("string")
-    told = F.regexp_extract(text, r.form, 1)
-    how, rest = r.family[1:].split("}")
-    return F.concat(F.initcap(F.lower(told)) if how == "title" else F.upper(told), F.lit(rest))
-
-
-def validated(candidate: Column, maker: str, why: Column | None = None) -> Column:
-    """outcome (VALID, INVALID or AMBIGUOUS), reason, family, normalized and brand of a text by a maker's grammar: what speaks against any identifier first, then the maker's rules in order.
-
-    why: rejected(candidate), where it is there already. A null or blank text is INVALID, empty_field."""
-    text = stripped(F.coalesce(candidate, F.lit("")))
-    why = rejected(candidate) if why is None else why
-    at = F.when(why.isNotNull(), F.lit(-1))
-    rules = rules_of(maker)
-    for n, r in enumerate(rules):
+def _number(text: Column, maker: str) -> Column:
+    """The number of the first of a maker's rules that holds."""
+    first = next(n for n, (m, _) in enumerate(NUMBERED) if m == maker)
+    c = F.when(F.lit(False), F.lit(-1))
+    for n, r in enumerate(rules_of(maker), first):
         fits = text.rlike(r.form) if r.form else F.lit(True)
-        if r.lengths:
-            fits = fits & ((F.length(text) < r.lengths[0]) | (F.length(text) > r.lengths[1]))
-        at = at.when(fits, F.lit(n))
-
-    def by(value) -> Column:
-        c = F.when(at == -1, F.lit(None).cast("string"))
-        for n, r in enumerate(rules):
-            c = c.when(at == n, value(r))
-        return c
+        c = c.when(fits & ((F.length(text) < r.lengths[0]) | (F.length(text) > r.lengths[1])) if r.lengths else fits, F.lit(n))
+    return c
 
-    valid = [n for n, r in enumerate(rules) if r.reason is None]
-    return F.struct(
-        F.coalesce(by(lambda r: F.lit(outcome_of(r))), F.lit("INVALID")).alias("outcome"), F.when(at == -1, why).otherwise(by(lambda r: F.lit(r.reason).cast("string"))).alias("reason"),
-        by(lambda r: _family(text, r) if r.reason is None else F.lit(None).cast("string")).alias("family"),
-        F.when(at.isin(*valid), by(lambda r: F.upper(text) if r.code else text)).alias("normalized"), F.when(at.isin(*valid), by(lambda r: F.lit(r.brand or maker))).alias("brand"),
-    )
+
+def _family(text: Column, number: Column) -> Column:
+    c = F.get(F.array(*[F.lit(r.family if r.family and not r.family.startswith("{") else None).cast("string") for _, r in NUMBERED]), number)
+    for n, (_, r) in enumerate(NUMBERED):
+        if r.family and r.family.startswith("{"):
+            told = F.regexp_extract(text, r.form, 1)
+            how, rest = r.family[1:].split("}")
+            c = F.when(number == n, F.concat(F.initcap(F.lower(told)) if how == "title" else F.upper(told), F.lit(rest))).otherwise(c)
+    return c
 
 
 def validated_by_maker(df: DataFrame, candidate: str, maker: str) -> DataFrame:
-    """Adds `validation` by the grammar of each row's maker; a maker without one gives INVALID, unknown_manufacturer. A valid text of a brand that isn't SUPPORTED has `bridged` false."""
-    df = df.withColumn("_why", rejected(F.col(candidate)))
+    """Adds `validation` (outcome VALID, INVALID or AMBIGUOUS, reason, family, normalized, brand) by the grammar of each row's maker, and `bridged`: whether a valid text's brand is SUPPORTED.
+
+    What speaks against any identifier comes first (a null or blank one is empty_field), then the maker's rules in order. A maker without a
+    grammar gives INVALID, unknown_manufacturer. The rules' numbers are found first; all else is looked up by them.
+    """
     at = F.lower(F.col(maker))
-    none = F.lit(None).cast("string")
-    unknown = F.struct(F.lit("INVALID").alias("outcome"), F.lit("unknown_manufacturer").alias("reason"), none.alias("family"), none.alias("normalized"), none.alias("brand"))
-    c = F.when(at.isNull(), unknown)
+    number = F.when(at.isNull(), F.lit(None).cast("int"))
     for name in GRAMMARS:  # one branch for each maker, of which a row's own alone is gone through
-        c = c.when(at == name, validated(F.col(candidate), name, F.col("_why")))
-    return df.withColumn("validation", c.otherwise(unknown)).withColumn("bridged", (F.col("validation.outcome") == "VALID") & F.col("validation.brand").isin(*SUPPORTED)).drop("_why")
+        number = number.when(at == name, _number(F.col("_text"), name))
+    df = df.withColumn("_text", stripped(F.coalesce(F.col(candidate), F.lit("")))).withColumn("_why", rejected(F.col(candidate))).withColumn("_n", number)
+    by = lambda value: F.get(F.array(*[F.lit(value(m, r)).cast("string") for m, r in NUMBERED]), F.col("_n"))
+    df = df.withColumn("_reason", F.when(F.col("_n").isNull(), "unknown_manufacturer").when(F.col("_why").isNotNull(), F.col("_why")).otherwise(by(lambda m, r: r.reason)))
+    valid = F.col("_reason").isNull()
+    outcome = F.when(valid, "VALID").when(F.col("_reason").startswith("unrecognized_"), "AMBIGUOUS").otherwise("INVALID")
+    validation = F.struct(
+        outcome.alias("outcome"), F.col("_reason").alias("reason"), F.when(valid, _family(F.col("_text"), F.col("_n"))).alias("family"),
+        F.when(valid, F.when(by(lambda m, r: "y" if r.code else None).isNotNull(), F.upper("_text")).otherwise(F.col("_text"))).alias("normalized"), F.when(valid, by(lambda m, r: r.brand or m)).alias("brand"),
+    )
+    return df.withColumn("validation", validation).withColumn("bridged", valid & F.col("validation.brand").isin(*SUPPORTED)).drop("_text", "_why", "_n", "_reason")
 
 
 # The letter after SM- and what it stands for, and what the letters behind the digits tell.
