@@ -16,8 +16,8 @@ RATE = lambda c: f"round(count(*) filter ({c}) / count(*)::double, 6)"  # noqa:
 
 
 def latest_start(runs: DataFrame) -> Column:
-    """The clock of these queries: the last start in the table, one value."""
-    return F.lit(runs.agg(F.max("started_at")).first()[0]).cast("timestamp")
+    """The clock of these queries: the last start in the table, one value, found when the query runs."""
+    return runs.agg(F.max("started_at")).scalar()
 
 
 @METRICS.add(
@@ -41,7 +41,7 @@ from e group by 1, 2"""
 def q22_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of the last hour, day and week."""
     r = V.runs(spark, sf_dir)
-    return M.rolling(r, latest_start(r))
+    return M.rolling(r.withColumn("_now", latest_start(r)), F.col("_now"))
 
 
 BASE = "rows between 49 preceding and current row"

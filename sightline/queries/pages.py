@@ -196,12 +196,12 @@ def q45_sitemap_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 i as (select *, sum(case when status_code between 200 and 299 then 1 else 0 end) over (partition by source, page order by fetched_at, id rows unbounded preceding) g from p),
 s as (select *, sum(case when status_code in (404, 410) then 1 else 0 end) over (partition by source, page, g order by fetched_at, id rows unbounded preceding) streak from i),
 b as (select *, lag(streak) over (partition by source, page order by fetched_at, id) before from s)
-select id, cast(streak as bigint) streak, case when streak = 2 and status_code in (404, 410) then 'PAGE_REMOVED' when status_code between 200 and 299 and before >= 2 then 'PAGE_RESTORED' end page_state from b"""
+select id, cast(streak as bigint) streak, case when streak = 3 and status_code in (404, 410) then 'PAGE_REMOVED' when status_code between 200 and 299 and before >= 3 then 'PAGE_RESTORED' end page_state from b"""
 )
 def q46_page_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that count as removed after two misses in a row, and their return."""
+    """Pages that count as removed after three misses in a row, and their return."""
     s = V.snapshots(spark, sf_dir, "source", "url", "status_code", "fetched_at").withColumn("url", normal_url(F.col("url")))
-    return P.removals(s, misses=2).select("id", F.col("streak").cast("long").alias("streak"), "page_state")
+    return P.removals(s).select("id", F.col("streak").cast("long").alias("streak"), "page_state")
 
 
 @PAGES.add(

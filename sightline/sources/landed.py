@@ -77,9 +77,9 @@ def mentions(pages: DataFrame, patterns: dict[str, str], least: int = 3, text: s
     return pages.withColumn("_m", F.explode(F.array_distinct(every) if distinct else every)).select("*", "_m.manufacturer", "_m.model_number").drop("_m")
 
 
-def certifications(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
+def certifications(pages: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
     """Mentions on certification pages, each model of a maker once, with a hash of the two as content."""
-    m = mentions(pages, patterns, least=4).dropDuplicates(["manufacturer", "model_number"])
+    m = mentions(pages, patterns, least=4, text=text).dropDuplicates(["manufacturer", "model_number"])
     return m.withColumn("content_hash", F.sha2(F.concat_ws(":", "manufacturer", "model_number"), 256))
 
 

@@ -24,8 +24,10 @@ RUNS_SQL = f"""runs as (
 
 
 def snapshots(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """snapshots, each id once."""
-    return table(spark, sf_dir, "snapshots", "id", *columns).where("id is not null").dropDuplicates(["id"])
+    """snapshots, each id once: its first fetch."""
+    df = table(spark, sf_dir, "snapshots", "id", *dict.fromkeys(("fetched_at", *columns))).where("id is not null")
+    first = F.min(F.struct(F.col("fetched_at").isNull().alias("_none"), "fetched_at", *[c for c in columns if c != "fetched_at"])).alias("r")
+    return df.groupBy("id").agg(first).select("id", *[f"r.{c}" for c in columns])
 
 
 SNAPSHOTS_SQL = "snaps as (select * from (select *, row_number() over (partition by id order by fetched_at nulls last) rn from snapshots where id is not null) where rn = 1)"
