@@ -61,3 +61,14 @@ def test_forms():
     assert form(["galaxy", "a", "54", "core"]) == ("54", "galaxya", "core", 1) and form(["xt", "4123", "4"]) == ("41234", "xt", "", 0)
     assert distance("name", ("54", "galaxys", "core"), ("54", "galaxya", "core", 1)) is None
     assert forms("Case for Alpha 7", {}, frozenset()) == [] and forms("", {}, frozenset()) == []
+
+
+def test_bounds_come_from_the_list(spark, reference):
+    """A listed name of any length is found; a value longer than all of them and one letter is unmatched, whatever it holds."""
+    v, d, a = reference
+    long = "Grand " + "Marathon" * 40 + " 12 Pro"
+    v = v.unionByName(spark.createDataFrame([("LONG12", "google", None, "")], V))
+    d = d.unionByName(spark.createDataFrame([("9", "LONG12", long, None, "google", "")], D))
+    asked = [(1, long.lower(), None, "s", "", ""), (2, long.replace("Grand", "Gran"), "google", "s", "", ""), (3, long + " extra" * 100, "google", "s", "", "")]
+    got = {r["result_id"]: r["canonical_model"] for r in canonical_values(spark.createDataFrame(asked, R), v, d, a).collect()}
+    assert got == {1: "LONG12", 2: "LONG12", 3: "unmatched"}
