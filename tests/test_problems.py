@@ -12,6 +12,8 @@ from sightline.operators.message_store import MessageStore, deduplicated
 from sightline.operators.metric_spikes import HALO, RISK, STUCK, THRESHOLD, metric_spikes, tails
 from sightline.operators.ordered import local_stats, same_run, segments, windowed
 from sightline.operators.snapshot_changes import snapshot_changes
+from sightline.plans.materialize import written
+from sightline.queries.problems import p3_found
 
 T0 = datetime(2020, 1, 1)
 SNAP = "id string, source string, url string, sweep_no int, fetched_at timestamp, content_hash string, text_hash string, dom_hash string, change_summary string, status_code int, _n int, _s string, kind string"
@@ -212,6 +214,47 @@ def test_cutoff_honours_the_risk_and_spikes_do_not_hide(spark, partitions):
     assert got.where("spike and extreme and id like 'spiky%'").count() == 108
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_cases_are_found_without_tails(spark, partitions, tmp_path, monkeypatch):
+    """A case is told by the rule, run lengths and readings: p3_found judges no residual, sums and keeps nothing for tails, and has the same rows as with them."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for name, size in (("wide", 400), ("calm", 300), ("tiny", 6)):
+        c, f = rng.poisson(30, size), rng.poisson(2, size)
+        if name == "wide":  # runs 4 times above a median of 100 lie under the tails' threshold
+            c = np.array([20 if i % 4 == 0 else 180 if i % 4 == 1 else 100 + (-1) ** (i // 2) * 80 * (i % 4 == 2) for i in range(size)])
+            c[[103, 211, 307]] = 401
+        f[size // 2] = 60
+        c[-15:], f[3] = (9, 101) if size > 100 else (c[-1], f[3])
+        rows += [(f"{name}{i}", name, T0 + timedelta(minutes=30 * i), T0, int(c[i]) if i % 41 else None, int(f[i]) if i % 43 else None, 100, 0 if i == 71 else 50, "x", 1, "y", 0) for i in range(size)]
+    rows += [(f"quiet{i}", "quiet", T0 + timedelta(minutes=30 * i), T0, 30 + i % 2, i % 3, 100, 50, "x", 1, "y", 0) for i in range(300)]  # no case at any end of its partitions
+    rows += rows[:50] + [("late", None, None, None, -5, None, 1, 1, "", 0, "", 0), ("fine", None, None, None, 5, None, 1, 1, "", 0, "", 0)]
+    df, want = spark.createDataFrame(rows, RUN), brute_spikes(rows)
+    got = metric_spikes(df, partitions, extremes=False)
+    assert got.columns == ["id", "implausible", "stuck", "spike"]
+    got = got.toPandas()
+    assert got["id"].is_unique and want["spike"] >= {"wide103", "wide211", "wide307"} and want["stuck"] and want["implausible"]
+    for kind in want:
+        assert set(got[got[kind]]["id"]) == want[kind], kind
+    assert set(got["id"]) == set().union(*want.values()) == {r["id"] for r in metric_spikes(df, partitions).collect()}
+    assert metric_spikes(df.limit(0), extremes=False).count() == 0
+    df.write.parquet(f"{tmp_path}/collector_run_metrics.parquet")
+    tables = []
+
+    def kept(df, name):
+        tables.append(written(df, name))
+        return tables[-1]
+
+    def unused(*_):
+        raise AssertionError("a stage for the tails")
+
+    monkeypatch.setattr("sightline.operators.metric_spikes.written", kept)
+    monkeypatch.setattr("sightline.operators.metric_spikes.tail_cut", unused)
+    assert sorted(r["id"] for r in p3_found(spark, str(tmp_path)).collect()) == sorted(got["id"])
+    assert len(tables) == 1 and not {"hour", "e_c", "e_f", "n", "s_c", "s_f"} & set(tables[0].columns)
+    assert tables[0].where("kind <> 'edge' and not (implausible or stuck or spike)").count() == 0 and {r["kind"] for r in tables[0].select("kind").distinct().collect()} <= {"row", "edge"}
+
+
 def test_windowed_covers_each_row_once():
     for n, chunk, part in ((5, 50, 3), (79, 60, 10), (81, 60, 7), (500, 130, 60), (1000, 10_000, 64)):
         df = pd.DataFrame({"k": np.repeat("ab", n)[:n].astype(object), "x": np.arange(n)})
